@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import secrets
+from lodestrata.llm import docpairs, secrets
 from lodestrata.runtime import table
 
 
@@ -18,5 +18,15 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted_fields(table(spark, sf_dir, "symbols"), "symbol_id", {"signature_clean": True, "docstring_clean": False})
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods whose own comment describes them."""
+    return p5_pairs(spark, sf_dir).where("doc_symbol_id = symbol_id").select("symbol_id")
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of every documented function, declarations joined to definitions."""
+    return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs}
 ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.runtime import ship_package
+from lodestrata.runtime import materialize, ship_package
 
 TYPE_DECLARATION = r"(?i)^\s*(?:@\S+\s+|\[[^\]]*\]\s*)*(?:(?:export|default|public|private|protected|internal|abstract|final|sealed|static|partial|pub|unsafe|readonly|data|open|inner|declare|const|ref)(?:\([^)]*\))?\s+)*(?:class|struct|interface|enum|trait|type|typedef|union|record|module|namespace|impl|protocol|extension)\b(?!\s*[(:=])"
 CALLABLE_KIND = r"(?i)^\s*(?:.*_)?(?:func|function|fn|def|method|procedure|proc|sub|subroutine|constructor|ctor|lambda|getter|setter|operator)\s*$"
@@ -173,6 +173,7 @@ def documented_pairs(symbols: DataFrame) -> DataFrame:
 
     judged = own.mapInPandas(judge, schema).drop("docstring_clean", "name").withColumns({"qualified": qualified, "stem": stem, "normal": normalised_signature(F.col("signature_clean"))})
     one = judged.groupBy("symbol_id").agg(F.min_by(F.struct("fqsn", "signature_clean", "documentation", "qualified", "stem", "normal"), F.struct(F.col("documentation").isNull(), "documentation", "signature_clean")).alias("s")).select("symbol_id", "s.*")
+    one = materialize(one)  # read three times below
     described_own = one.where("documentation is not null").select("symbol_id", "fqsn", F.col("signature_clean").alias("signature"), "documentation", F.col("symbol_id").alias("doc_symbol_id"))
     separate = F.col("signature_clean").rlike(r";\s*$") | F.col("fqsn").rlike(r"\.(?:h|hh|hpp|hxx|pyi|d\.ts|mli|rbi)::")
     declared = (

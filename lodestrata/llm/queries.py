@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, secrets
+from lodestrata.llm import docpairs, secrets, syntax
 from lodestrata.runtime import table
 
 
@@ -18,6 +18,21 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted_fields(table(spark, sf_dir, "symbols"), "symbol_id", {"signature_clean": True, "docstring_clean": False})
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose content does not follow the grammar of their extension's language."""
+    return syntax.judged_files(table(spark, sf_dir, "files"), detail=False).where("not valid").select("file_id").distinct()
+
+
+def p4_diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invalid files with place and cause of the furthest failure."""
+    return syntax.judged_files(table(spark, sf_dir, "files")).where("not valid")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of invalid files per repository and language."""
+    return syntax.invalid_rates(syntax.judged_files(table(spark, sf_dir, "files"), detail=False))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods whose own comment describes them."""
     return p5_pairs(spark, sf_dir).where("doc_symbol_id = symbol_id").select("symbol_id")
@@ -28,5 +43,5 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
 ORACLES: dict[str, str] = {}

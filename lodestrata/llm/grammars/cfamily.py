@@ -51,7 +51,8 @@ qunary = `[*&!~-]?` qatom (qargs / '[' qatom ']')? `\+\+|--`?
 qexpr = qunary (binop qunary)*
 quick = ("return" qexpr? / "goto" ident / (`(?:const\s+)?(?:unsigned\s+|struct\s+)?(?!(?:return|goto|else|case|sizeof|typedef|break|continue|do)\b)[A-Za-z_]\w*+\s*[\s*]\s*` ident '=')? qexpr) `;`
 parens = '(' qexpr ')' / '(' expr ')'
-statement = quick / `;` / block / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (declaration / expr? `;`) expr? `;` expr? ')' statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
+statement = quick / !`[})]` other
+other = `;` / block / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (declaration / expr? `;`) expr? `;` expr? ')' statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
 expr = assign (',' assign)*
 binop = `<<=?|>>=?|&&|\|\||[<>=!+*/%&|^-]=|[+*/%&|^<>=-]`
 assign = unary (binop unary / `\?` expr? ':' assign)*
@@ -112,7 +113,8 @@ qexpr = `!`? qatom qargs? (`\.` ident qargs)* (binop `!`? qatom qargs?)*
 quick = ("return" / ("throw" "new") / (qtype ident '=') / qname '=')? qexpr `;`
 parens = '(' qexpr ')' / '(' expr ')'
 localdecl = modifier* ("var" &`[A-Za-z_$]` declarator / type declarator (',' declarator)*)
-statement = quick / `;` / block / "if" parens statement ("else" statement)? / "for" '(' (modifier* type ident ':' expr / (localdecl / exprs)? `;` expr? `;` exprs?) ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" expr? `;` / "throw" expr `;` / trys / switch / "break" ident? `;` / "continue" ident? `;` / "yield" !`[=.(\[+-]` expr `;` / "synchronized" '(' expr ')' block / "assert" expr (':' expr)? `;` / typedecl / ident ':' statement / localdecl `;` / expr `;`
+statement = quick / !`[})]` other
+other = `;` / block / "if" parens statement ("else" statement)? / "for" '(' (modifier* type ident ':' expr / (localdecl / exprs)? `;` expr? `;` exprs?) ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" expr? `;` / "throw" expr `;` / trys / switch / "break" ident? `;` / "continue" ident? `;` / "yield" !`[=.(\[+-]` expr `;` / "synchronized" '(' expr ')' block / "assert" expr (':' expr)? `;` / typedecl / ident ':' statement / localdecl `;` / expr `;`
 trys = "try" ('(' resource (`;` resource)* `;`? ')')? block ("catch" '(' modifier* type (`\|` type)* ident ')' block)* ("finally" block)?
 resource = localdecl / expr
 switch = "switch" '(' expr ')' '{' (caselabel ('->' (block / "throw" expr `;` / expr `;`) / ':' statement*))* '}'
@@ -196,8 +198,9 @@ quick = ("return" / "throw" / ("var" / qtype) ident '=' / qname `[+-]?=(?!>)`)?
 parens = '(' qexpr ')' / '(' expr ')'
 local = modifier* ("var" / type) declarator (',' declarator)*
 localfunc = modifier* type ident tparams? params constraint* (block / '=>' expr `;`)
-statement = quick / `;` / block / "if" parens statement ("else" statement)? / "foreach" '(' (("var" / type) (ident / tuplepat) / tuplepat) "in" expr ')' statement / "await" "foreach" '(' ("var" / type) ident "in" expr ')' statement / "for" '(' (local / exprs)? `;` expr? `;` exprs? ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" ("ref"? expr)? `;` / "throw" expr? `;` / trys / "switch" '(' expr ')' '{' (label+ statement*)* '}' / "break" `;` / "continue" `;` / "goto" ("case" expr / "default" / ident) `;` / "yield" ("return" expr / "break") `;` / "await"? "using" ('(' (local / expr) ')' statement / local `;`) / "lock" parens statement / ("checked" / "unchecked" / "unsafe") block / "fixed" '(' local ')' statement / localfunc / local `;` / ident ':' statement / expr `;`
-tuplepat = '(' (("var" / type)? ident / tuplepat) (',' (("var" / type)? ident / tuplepat))* ')'
+statement = quick / !`[})]` other
+other = `;` / block / "if" parens statement ("else" statement)? / "foreach" '(' (("var" / type) (ident / tuplepat) / tuplepat) "in" expr ')' statement / "await" "foreach" '(' ("var" / type) ident "in" expr ')' statement / "for" '(' (local / exprs)? `;` expr? `;` exprs? ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" ("ref"? expr)? `;` / "throw" expr? `;` / trys / "switch" '(' expr ')' '{' (label+ statement*)* '}' / "break" `;` / "continue" `;` / "goto" ("case" expr / "default" / ident) `;` / "yield" ("return" expr / "break") `;` / "await"? "using" ('(' (local / expr) ')' statement / local `;`) / "lock" parens statement / ("checked" / "unchecked" / "unsafe") block / "fixed" '(' local ')' statement / localfunc / local `;` / ident ':' statement / expr `;`
+tuplepat = '(' (("var" / type) ident / ident / tuplepat) (',' (("var" / type) ident / ident / tuplepat))* ')'
 label = "case" pattern ("when" expr)? ':' / "default" ':'
 trys = "try" block ("catch" ('(' type ident? ')')? ("when" '(' expr ')')? block)* ("finally" block)?
 pattern = patternand (`or(?!\w)` patternand)*
@@ -238,7 +241,8 @@ inner = `\#!` '[' tree* ']'
 attr = `\#` '[' tree* ']'
 tree = '(' tree* ')' / '[' tree* ']' / '{' tree* '}' / literal / lifetime / `[^()\[\]{}\s"']`
 vis = `pub(?!\w)(?:\s*\((?:crate|super|self|in [^)]*)\))?`
-item = attr* vis? (function / use / structs / enum / impl / trait / mod / const / typealias / externs / macrorules / macroitem)
+qitem = `pub(?!\w)`? "const" ident ':' `\w++` '=' literal `;`
+item = qitem / attr* vis? (function / use / structs / enum / impl / trait / mod / const / typealias / externs / macrorules / macroitem)
 use = "use" usetree `;`
 usetree = `::`? ('{' (usetree (',' usetree)* `,`?)? '}' / `\*` / pathseg (`::` pathseg)* (`::` ('{' (usetree (',' usetree)* `,`?)? '}' / `\*`))? ("as" (ident / `_`))?)
 pathseg = ident / `(?:self|Self|super|crate)(?!\w)`
@@ -281,12 +285,13 @@ qatom = literal / qpath / qname
 qcall = `[&!*]?` qatom ('(' (`&?` qatom (',' `&?` qatom)*)? ')')? (`\.` ident '(' ((`\|` ident `\|` qname (binop qatom)? / qatom))? ')')*
 qexpr = qcall (binop qcall)*
 quick = (`(?:debug|info|warn|error|println|eprintln|trace)!` '(' qatom (',' qatom)* ')' / ("return" / "let" "mut"? ident '=')? qexpr) `;`
-statement = quick / `;` / attr* ("let" pattern (':' type)? ('=' expr ("else" block)?)? `;` / stmtitem / blockexpr !`[.?]` `;`? / expr (`;` / &`\}`))
+statement = quick / !`\}` other
+other = `;` / attr* ("let" pattern (':' type)? ('=' expr ("else" block)?)? `;` / stmtitem / blockexpr !`[.?]` `;`? / expr (`;` / &`\}`))
 stmtitem = &`(?:pub|use|struct|enum|impl|trait|mod|static|type|extern|macro_rules|union|fn|const\s+(?!\{|move|\|)|async\s+fn|unsafe\s+(?:fn|impl|trait|extern))(?![\w])` item
 blockexpr = "if" cond block ("else" (&"if" blockexpr / block))? / "match" scrut '{' inner* arm* '}' / (lifetime ':')? ("loop" block / "while" cond block / "for" pattern "in" scrut block / block) / "unsafe" block / "const" block / "async" "move"? block
 cond = condpart (`&&` condpart)*
 condpart = "let" pattern '=' scrutop / scrut
-scrut = sexpr
+scrut = qexpr &`\{` / sexpr
 scrutop = sexpr
 arm = qarm / attr* `\|`? pattern ("if" cond)? '=>' (blockexpr !`[.?+*/-]` `,`? / expr (`,` / &`\}`))
 qarm = (ident '(' ident ')' / ident) '=>' (`return` qexpr / qexpr) `,`
@@ -345,7 +350,8 @@ qatom = literal / qname
 qcall = `[!&*]?` qatom ('(' (qatom (',' qatom)*)? ')')?
 qexpr = qcall (binop qcall)*
 quick = ("return" qexpr (',' qexpr)* / "defer" qcall / qname (`:=|[-+*/|&^%]?=` qexpr / `\+\+|--`)? / qexpr) &`[;\x04}]`
-statement = quick / decl / block / ifs / fors / switch / select / "return" exprs? / "go" expr / "defer" expr / "goto" ident / "break" ident? / "continue" ident? / "fallthrough" / ident ':' !`=` statement? / simple
+statement = quick / !`[}\x04]` other
+other = decl / block / ifs / fors / switch / select / "return" exprs? / "go" expr / "defer" expr / "goto" ident / "break" ident? / "continue" ident? / "fallthrough" / ident ':' !`=` statement? / simple
 simple = exprs (`:=|(?:<<|>>|&\^|[-+*/%&|^])?=(?!=)` ("range" expr / exprs) / `\+\+|--` / `<-` expr)?
 ifs = "if" (simplenb? `;`)? simplenb block ("else" (ifs / block))?
 simplenb = nexprs (`:=|(?:<<|>>|&\^|[-+*/%&|^])?=(?!=)` ("range" nexpr / nexprs) / `\+\+|--` / `<-` nexpr)? / "range" nexpr
@@ -432,7 +438,8 @@ qlist = '[' (qatom '=>' (qfn / qcall) (',' qatom '=>' (qfn / qcall))* `,`?)? ']'
 qfull = qlist / `array_\w++` '(' qatom ',' qfn ')' / qcall (binop qcall)*
 quick = ("return" / qvar ('[' qatom? ']')? '=')? qfull `;`
 qparams = '(' (`\$\w++` ('=' (literal / '[' ']' / `(?:true|false|null)(?!\w)`))? (',' `\$\w++` ('=' (literal / '[' ']' / `(?:true|false|null)(?!\w)`))?)*)? ')'
-statement = quick / `;` / block / close / ifs / "foreach" '(' expr "as" (expr '=>')? `&`? expr ')' body4each / "for" '(' exprs? `;` exprs? `;` exprs? ')' body4for / "while" '(' expr ')' (':' statement* `(?i:endwhile)(?!\w)` end / statement) / "do" statement "while" '(' expr ')' end / "return" expr? end / "echo" exprs end / trys / switch / "break" number? end / "continue" number? end / "throw" expr end / "namespace" (name? block / name end) / "use" !`\(` usedecl end / "const" (word '=' expr (',' word '=' expr)*) end / "global" var (',' var)* end / "static" &`\$` (var ('=' expr)? (',' var ('=' expr)?)*) end / "unset" '(' exprs `,`? ')' end / "declare" '(' word '=' expr (',' word '=' expr)* ')' (end / block / statement) / "goto" ident end / classlike / attr* function / ident ':' !':' / expr end
+statement = quick / !`\}` other
+other = `;` / block / close / ifs / "foreach" '(' expr "as" (expr '=>')? `&`? expr ')' body4each / "for" '(' exprs? `;` exprs? `;` exprs? ')' body4for / "while" '(' expr ')' (':' statement* `(?i:endwhile)(?!\w)` end / statement) / "do" statement "while" '(' expr ')' end / "return" expr? end / "echo" exprs end / trys / switch / "break" number? end / "continue" number? end / "throw" expr end / "namespace" (name? block / name end) / "use" !`\(` usedecl end / "const" (word '=' expr (',' word '=' expr)*) end / "global" var (',' var)* end / "static" &`\$` (var ('=' expr)? (',' var ('=' expr)?)*) end / "unset" '(' exprs `,`? ')' end / "declare" '(' word '=' expr (',' word '=' expr)* ')' (end / block / statement) / "goto" ident end / classlike / attr* function / ident ':' !':' / expr end
 body4each = ':' statement* `(?i:endforeach)(?!\w)` end / statement
 body4for = ':' statement* `(?i:endfor)(?!\w)` end / statement
 ifs = "if" '(' expr ')' (':' statement* ("elseif" '(' expr ')' ':' statement*)* ("else" ':' statement*)? `(?i:endif)(?!\w)` end / statement (`(?i:elseif|else\s+if)(?!\w)` '(' expr ')' statement)* ("else" statement)?)

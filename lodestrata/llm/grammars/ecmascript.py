@@ -44,22 +44,27 @@ params = qparams / '(' (param (',' param)* `,`?)? ')'
 param = DECO* PMOD `\.\.\.`? pattern OPTMARK ANNOT (`=(?![=>])` assign)?
 pattern = ident / "this" / '{' (patprop (',' patprop)* `,`?)? '}' / '[' (`,` / `\.\.\.`? pattern (`=(?![=>])` assign)?)* ']'
 patprop = `\.\.\.` pattern / propname ':' pattern (`=(?![=>])` assign)? / ident (`=(?![=>])` assign)?
-arrow = (`async(?![\w$])(?!\s*=>)`)? (ident `=>` / TPARAMS? params RET `=>`) (block / assign)
+arrow = &`(?:async(?![\w$])\s*)?(?:[<(]|[\w$]+\s*=>)` (`async(?![\w$])(?!\s*=>)`)? (ident `=>` / TPARAMS? params RET `=>`) (block / assign)
+qmember = `get(?=\s+[\w$])` word '(' ')' RET '{' "return" qexpr `;` '}'
 class = DECO* ABSTRACT "class" (!"extends" !"implements" ident)? TPARAMS? ("extends" postfix TARGS?)? IMPL '{' member* '}'
-member = `;` / "static" block / DECO* MMOD (`(?:get|set)(?![\w$])(?!\s*[(:;=}?!])` propname params RET (block / end) / modasync propname OPTMARK TPARAMS? params RET (block MEMBEREND) / INDEXSIG propname OPTMARK ANNOT (`=(?![=>])` assign)? end)
+member = `;` / qmember / "static" block / DECO* MMOD (`(?:get|set)(?![\w$])(?!\s*[(:;=}?!])` propname params RET (block / end) / modasync propname OPTMARK TPARAMS? params RET (block MEMBEREND) / INDEXSIG propname OPTMARK ANNOT (`=(?![=>])` assign)? end)
 # The most common statements, without nesting: one pattern each.
 qname = `(?!(?:KW)(?![\w$]))[^\W\d][\w$]*+(?:\??\.[^\W\d][\w$]*+)*+(?![\w$])` / `this(?:\.[\w$]++)*+(?![\w$])` / `true|false|null(?![\w$])`
 qatom = string / number / qname / '[' ']' / '{' '}' / `\x60[^\x60\\$]*+(?:\$\{[\w.]++\}[^\x60\\$]*+)*+\x60`
 qarrow = '(' ident ')' `=>` qname (binop qatom)?
 qargs = '(' ((qarrow / qatom) (',' (qarrow / qatom))*)? ')'
-qcall = "new"? qatom qargs? (`\.` word qargs)*
-qexpr = `!`? qcall (binop qcall)*
+qcall = ("new" / "void")? qatom qargs? ('[' qatom ']' / `\.` word qargs? / qargs)*
+qterm = `!`? qcall (binop qcall)*
+qlist = '[' (qatom (',' qatom)*)? ']'
+qexpr = qlist / qterm (`\?(?![.?])` qterm ':' qterm)?
+qfunc = "function" ident? '(' (ident (',' ident)*)? ')' '{' ("return"? qexpr `;`?)? '}'
 qobject = '{' word ':' qexpr (',' word ':' qexpr)* '}'
 qparam = ident QTYPE (`=(?![=>])` qatom)? &`[,)]`
 qparams = '(' (qparam (',' qparam)*)? ')'
-quick = ("return" / "throw" / ("const" / "let" / "var") ident QTYPE '=' / !`(?:function|class|async|import|export|interface|type|declare|namespace|module|abstract|enum|let)(?![\w$])`) (qobject / qexpr) `;`
+quick = ("return" / "throw" / ("const" / "let" / "var") ident QTYPE '=' / !`(?:function|class|async|import|export|interface|type|declare|namespace|module|abstract|enum|let)(?![\w$])`) (qobject / qfunc !`[(.\[]` / qexpr) (',' ident '=' qexpr)* (`;` / &`\}`) / `!` qfunc qargs (`;` / &`\}`) / "function" ident '(' (ident (',' ident)*)? ')' '{' ("return"? qexpr `;`?)? '}'
 parens = '(' qexpr ')' / '(' expr ')'
-statement = quick / `;` / block / vardecl end / (`async(?![\w$])`)? &"function" function / "async" function / class / ifs / fors / "while" parens statement / "do" statement "while" '(' expr ')' `;`? / returns / "throw" expr end / trys / switch / "break" ident? end / "continue" ident? end / "debugger" end / import / export / TSSTATEMENT ident ':' statement / !`\{` !"function" !"class" expr end
+statement = quick / !`[})]` other
+other = `;` / block / vardecl end / (`async(?![\w$])`)? &"function" function / "async" function / &`@|(?:class|abstract)(?![\w$])` class / ifs / fors / "while" parens statement / "do" statement "while" '(' expr ')' `;`? / returns / "throw" expr end / trys / switch / "break" ident? end / "continue" ident? end / "debugger" end / &"import" import / &`@|export(?![\w$])` export / TSSTATEMENT ident ':' statement / !`\{` !"function" !"class" expr end
 vardecl = ("const" / "let" / "var") declarator (',' declarator)*
 declarator = pattern `!`? ANNOT (`=(?![=>])` assign)?
 ifs = "if" parens statement ("else" statement)?
@@ -110,7 +115,7 @@ SLOTS = {
     "MMOD": ("(`static(?![\\w$])(?!\\s*[(=;}])`)?", "(`(?:public|private|protected|static|readonly|abstract|override|declare|accessor)(?![\\w$])(?!\\s*[(:;=?!}])`)*"),
     "MEMBEREND": ("", "/ end"),
     "INDEXSIG": ("", "'[' ident ':' type ']' ':' type end /"),
-    "TSSTATEMENT": ("", "tsdecl /"),
+    "TSSTATEMENT": ("", "&`(?:interface|type|const|enum|namespace|module|declare|import|export)(?![\\w$])` tsdecl /"),
     "TYPEONLY": ("", '("type" !"from" !`[,=]`)?'),
     "TSDEFAULT": ("", "interface /"),
 }

@@ -16,7 +16,7 @@ number = `(?:0[xX](?:_?[\da-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++|(?:\d(
 literal = string / number / "None" / "True" / "False"
 block = nl `\x02` statement+ `\x03` / simples
 simples = small (`;` small)* `;`? nl
-statement = quick / compound / simples
+statement = quick / !`\x03` (compound / simples)
 qname = `(?!(?:KW)(?!\w))[^\W\d]\w*+(?:\.(?!(?:KW)(?!\w))[^\W\d]\w*+)*+`
 qatom = literal / qname / '[' ']' / '{' '}'
 qargs = '(' (qatom (',' qatom)*)? ')'
@@ -172,12 +172,13 @@ qatom = literalq / qname
 literalq = `"[^"\\\#]*+"(?!:)` / `'[^'\\]*+'(?!:)` / number / `(?:nil|true|false)(?![\w?!])`
 qhash = '{' `[a-z_]\w*+:(?!:)` qatom (',' `[a-z_]\w*+:(?!:)` qatom)* '}'
 qblock = '{' `\|[a-z_]\w*+\|` qatom (binop qatom)? '}'
-quick = (qname `(?:=|<<|\+=)(?![=~>])` (qhash / qatom qblock / qatom) / `[a-z_.]++\(` literalq ')' / `raise ` const ',' literalq / qatom) &`[;\x04}]|end\b`
-stmt = quick / expr1 (("if" / "unless" / "while" / "until" / "rescue") expr1)*
+quick = `def [a-z_]\w*+[?!]?` `;` (qname ('[' qatom ']')? `;`)? "end" &`[;\x04}]` / (qname `(?:=|<<|\+=)(?![=~>])` (qhash / qatom qblock / qatom) / `[a-z_.]++\(` literalq ')' / `raise ` const ',' literalq / qatom) &`[;\x04}]|end\b`
+qcond = qname `(?=[ \t]*(?:\x04|;|then))`
+stmt = quick / !`(?:end|else|elsif|when|rescue|ensure|then)(?![\w?!:])|\}` expr1 (("if" / "unless" / "while" / "until" / "rescue") expr1)*
 expr1 = notexpr (("and" / "or") sepnl notexpr)*
 sepnl = `[\x04\s]*+`
 notexpr = "not" notexpr / special / massign / expr ("in" pattern / '=>' pattern)?
-massign = mlhs '=' !`[=~>]` (mrhs)
+massign = &`\*|\(|[\w@$.?!:\[\]"' -]+,` mlhs '=' !`[=~>]` (mrhs)
 mlhs = mitem (',' mitem)+ `,`? / mitem `,` &`\s*=(?![=~>])` / `\*` mitem
 mitem = `\*`? (postfix / '(' mitem (',' mitem)* ')') / `\*`
 mrhs = (`\*`? expr) (',' `\*`? expr)*
@@ -207,7 +208,7 @@ param = `\*\*` (ident / "nil")? / `\*` ident? / `&` ident? / `\.\.\.` / '(' para
 bodystmt = stmts ("rescue" rescuehead ("then" / sep)? stmts)* ("else" stmts)? ("ensure" stmts)?
 rescuehead = (`\*`? unary (',' sepnl `\*`? unary)*)? ('=>' postfix)?
 then = sep? "then" / sep
-primary = literal / regexp / lambda / "if" expr1 then stmts ("elsif" expr1 then stmts)* ("else" stmts)? "end" / "unless" expr1 then stmts ("else" stmts)? "end" / ("while" / "until") expr1 (sep / "do") stmts "end" / "for" mitem (',' mitem)* "in" expr1 (sep / "do") stmts "end" / case / def / "class" `<<` expr1 sep bodystmt "end" / ("class" cpath (`<(?!<)` expr)? / "module" cpath) sep bodystmt "end" / "begin" bodystmt "end" / array / hash / '(' stmts ')' / "yield" ('(' callargs? ')')? / "super" ('(' callargs? ')')? block? / "self" / "return" / "break" / "next" / "redo" / "retry" / "defined?" '(' expr1 ')' / `::` const / const / var / ident / `__\w+__`
+primary = literal / regexp / lambda / "if" (qcond / expr1) then stmts ("elsif" expr1 then stmts)* ("else" stmts)? "end" / "unless" (qcond / expr1) then stmts ("else" stmts)? "end" / ("while" / "until") expr1 (sep / "do") stmts "end" / "for" mitem (',' mitem)* "in" expr1 (sep / "do") stmts "end" / case / def / "class" `<<` expr1 sep bodystmt "end" / ("class" cpath (`<(?!<)` expr)? / "module" cpath) sep bodystmt "end" / "begin" bodystmt "end" / array / hash / '(' stmts ')' / "yield" ('(' callargs? ')')? / "super" ('(' callargs? ')')? block? / "self" / "return" / "break" / "next" / "redo" / "retry" / "defined?" '(' expr1 ')' / `::` const / const / var / ident / `__\w+__`
 cpath = `::`? const (`::` const)*
 lambda = '->' ('(' (param (',' param)*)? ')' / param (',' param)*)? block
 array = '[' sepnl (literal (',' sepnl literal)* sepnl `,`? sepnl &`\]`) ']' / '[' sepnl callargs? sepnl ']'

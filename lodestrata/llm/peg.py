@@ -171,17 +171,19 @@ class Packrat:
 
     def __init__(self, grammar: Grammar, fast: bool):
         self.g, self.is_fast = grammar, fast
-        self.furthest, self.memo, self.text = 0, {}, ""
+        self.furthest, self.text = 0, ""
+        self.memo: dict[str, dict[int, int]] = {}
         self.leading = _compile(grammar.space)
         self.refs = {n: self._rule(n) for n in grammar.rules}
         self.bodies = {n: self._make(r) for n, r in grammar.rules.items()}
 
     def _rule(self, name: str):
+        memo = self.memo[name] = {}
+
         def run(at: int) -> int:
-            key = (name, at)
-            end = self.memo.get(key)
+            end = memo.get(at)
             if end is None:
-                end = self.memo[key] = self.bodies[name](at)
+                end = memo[at] = self.bodies[name](at)
             return end
 
         return run
@@ -317,12 +319,14 @@ class Packrat:
 
     def parse(self, text: str) -> tuple[bool, int]:
         """(whether the whole input is accepted, furthest position at which something was expected)."""
-        self.text, self.memo, self.furthest = text, {}, 0
+        self.text, self.furthest = text, 0
         start = self.leading.match(text).end()
         end = self.refs[self.g.start](start)
         ok = end == len(text)
         if end >= 0 and not ok:
             self.furthest = max(self.furthest, end)
         furthest = len(text) if ok else self.furthest
-        self.memo, self.text = {}, ""
+        self.text = ""
+        for memo in self.memo.values():
+            memo.clear()
         return ok, furthest

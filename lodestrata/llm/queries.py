@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, secrets, syntax
+from lodestrata.llm import docpairs, provenance, secrets, syntax
 from lodestrata.runtime import table
 
 
@@ -18,6 +18,16 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted_fields(table(spark, sf_dir, "symbols"), "symbol_id", {"signature_clean": True, "docstring_clean": False})
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody in the project wrote by hand."""
+    return p3_labels(spark, sf_dir).where("label <> 'handwritten'").select("file_id").distinct()
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label of every file: handwritten, generated, minified, vendored or blob."""
+    return provenance.labelled_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "inventory_files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose content does not follow the grammar of their extension's language."""
     return syntax.judged_files(table(spark, sf_dir, "files"), detail=False).where("not valid").select("file_id").distinct()
@@ -43,5 +53,5 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
 ORACLES: dict[str, str] = {}

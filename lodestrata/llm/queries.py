@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, provenance, secrets, syntax
+from lodestrata.llm import docpairs, leakage, provenance, secrets, syntax
 from lodestrata.runtime import table
 
 
@@ -53,5 +53,15 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and the documents that hold at least half of them."""
+    return p7_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the share that leaked and whether the answer did."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_leaks": p7_leaks}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, leakage, provenance, secrets, syntax
+from lodestrata.llm import docpairs, leakage, provenance, secrets, subjects, syntax
 from lodestrata.runtime import table
 
 
@@ -63,5 +63,15 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of every document."""
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the share of sentences about each subject."""
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_subjects": p8_subjects}
 ORACLES: dict[str, str] = {}

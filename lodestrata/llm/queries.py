@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, leakage, provenance, secrets, subjects, syntax
+from lodestrata.llm import docpairs, leakage, packing, provenance, secrets, subjects, syntax
 from lodestrata.runtime import table
 
 
@@ -53,6 +53,16 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with the container of 2,048 tokens it lies in."""
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and the documents that hold at least half of them."""
     return p7_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
@@ -73,5 +83,5 @@ def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_subjects": p8_subjects}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_subjects": p8_subjects}
 ORACLES: dict[str, str] = {}

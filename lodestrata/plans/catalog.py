@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import snapshots
+from lodestrata.plans import graph_queries, snapshots, text_queries
 
-QUERIES = {**snapshots.QUERIES}
-ORACLES = {**snapshots.ORACLES}
+QUERIES = {**snapshots.QUERIES, **text_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**snapshots.ORACLES, **text_queries.ORACLES, **graph_queries.ORACLES}

@@ -1,0 +1,202 @@
+import json
+import os
+import random
+from collections import defaultdict, deque
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.operators import contracts, generations, graph, infra, parsing, report, resolve
+from lodestrata.sources import inventory as inv
+from lodestrata.streaming import inventory_stream
+
+PY = '''import os
+
+class Store:
+    """Keeps rows."""
+    def load(self, path):
+        return helper(path)
+
+    def _close(self):
+        self.load(1)
+
+def helper(x):
+    def inner():
+        return helper(x)
+    return inner()
+
+def stale(cb):
+    cb()
+'''
+
+
+def test_parse_and_resolve(spark):
+    files = spark.createDataFrame([("a.py", PY, 0), ("b.py", "def (", 0), ("c.sql", "CREATE TABLE t (a int);\nCREATE VIEW v AS SELECT 1", 0), ("d.rb", "# Docs.\ndef go\nend\nclass X\nend", 0), ("e.py", None, 0), (None, "x", 0), ("f.s", "start:\n nop", 0)], "path string, content string, name int")
+    symbols, calls, diagnostics = parsing.parse_files(files)
+    got = {(r.fqsn, r.kind, r.visibility) for r in symbols.collect()}
+    assert {("a.py::Store", "class", "public"), ("a.py::Store::load", "function", "public"), ("a.py::Store::_close", "function", "private"), ("a.py::helper::inner", "function", "public"), ("c.sql::t", "table", "public"), ("c.sql::v", "view", "public"), ("d.rb::go", "function", "public"), ("f.s::start", "label", "public")} <= got
+    assert {r.docstring for r in symbols.where("name = 'go'").collect()} == {"Docs."}
+    assert {(r.path, r.code) for r in diagnostics.collect()} == {("b.py", "SYNTAX_RECOVERY"), ("d.rb", "AST_UNSUPPORTED")}
+    occ = calls.select(F.concat_ws(":", "caller_fqsn", "callee_name").alias("occurrence_id"), "caller_fqsn", "callee_name", (F.col("edge_kind") == "direct_call").alias("direct"), "shadowed")
+    res = {r.occurrence_id: (r.resolution, r.candidates) for r in resolve.nearest_scope(occ, symbols).collect()}
+    assert res["a.py::Store::load:helper"] == ("resolved", ["a.py::helper"])
+    assert res["a.py::helper::inner:helper"] == ("resolved", ["a.py::helper"])
+    assert res["a.py::helper:inner"][0] == "unresolved"  # nested functions are no candidates of their parent
+    assert res["a.py::Store::_close:load"][0] == "unresolved" and res["a.py::stale:cb"][0] == "unresolved"
+    assert parsing.parse_files(files.limit(0))[0].count() == 0
+
+
+def test_ambiguity_and_relations(spark):
+    symbols = spark.createDataFrame([("f.java::C::m::<signature:aaaaaaaaaaaa>", "m"), ("f.java::C::m::<signature:bbbbbbbbbbbb>", "m"), ("f.java::m", "m"), ("f.java::C::n", "n")], "fqsn string, name string")
+    occ = spark.createDataFrame([("o", "f.java::C::n", "m", True, False), ("p", "f.java::C::n", "zzz", True, False), ("q", "f.java::C::n", "m", False, False)], "occurrence_id string, caller_fqsn string, callee_name string, direct boolean, shadowed boolean")
+    r = resolve.nearest_scope(occ, symbols)
+    assert {x.occurrence_id: (x.resolution, len(x.candidates)) for x in r.collect()} == {"o": ("ambiguous", 2), "p": ("unresolved", 0), "q": ("unresolved", 0)}
+    kept = symbols.limit(1)
+    assert {x.occurrence_id: (x.resolution, x.to_id is not None) for x in resolve.relations(r, kept).collect()}["o"] == ("resolved", True)
+
+
+def test_graph_matches_brute_force(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)] + [(None, 1), (3, 3)]
+    e = spark.createDataFrame([(*x, "s") for x in edges], "src int, dst int, node string")
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None:
+            near[a].add(b)
+    dist, todo = {}, deque([(0, 0)])
+    while todo:
+        n, k = todo.popleft()
+        for m in near[n]:
+            if m not in dist and k < 6:
+                dist[m] = k + 1
+                todo.append((m, k + 1))
+    got = {r.node: r.distance for r in graph.distances(e, spark.createDataFrame([(0,)], "node int"), 6).collect()}
+    assert got == dist
+    far = max(dist, key=lambda n: (dist[n], n))
+    path = [r.node for r in graph.trace(e, 0, far, 6).orderBy("position").collect()]
+    assert len(path) == dist[far] + 1 and all(b in near[a] for a, b in zip(path, path[1:], strict=False))
+    assert graph.trace(e, 0, 999).count() == 0
+    hubs = spark.createDataFrame([(h, i) for h in (1, 2) for i in range(3, 51)], "src int, dst int")
+    visible, inside, hidden = graph.prune(hubs, 35)
+    assert visible.count() == 35 and {1, 2} <= {r.node for r in visible.collect()} and hidden.first()[0] == 15 and inside.count() == 66
+
+
+def test_generations(spark, tmp_path):
+    store = generations.GenerationStore(spark, str(tmp_path))
+    with pytest.raises(generations.GenerationError, match="NOT_SCANNED"):
+        store.table("symbols")
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "symbol_id")
+    for i in range(8):
+        store.begin(f"s{i}")
+        store.stage(f"s{i}", symbols=rows(i + 1))
+        if i == 6:
+            store.record("s6", "partial")
+        else:
+            store.publish(f"s{i}", keep=2)
+    assert store.active == "s7" and store.metadata() == {"symbols": 8} and store.state("s1") == "superseded" and store.state("s6") == "partial"
+    assert store.table("symbols", "s4").count() == 5
+    with pytest.raises(generations.GenerationError, match="SNAPSHOT_UNAVAILABLE"):
+        store.table("symbols", "s0")
+    with pytest.raises(generations.GenerationError):
+        store.stage("s7", symbols=rows(1))
+    store.begin("old")
+    store.begin("new")
+    store.stage("old", symbols=rows(1))
+    with pytest.raises(generations.GenerationError, match="latest attempt"):
+        store.publish("old")
+    assert generations.GenerationStore(spark, str(tmp_path)).active == "s7"
+    assert store.purge() == 2 and store.metadata() == {"symbols": 8}
+
+
+def test_pages(spark):
+    df = spark.range(1200).withColumn("t", F.lit("x"))
+    seen, after = [], None
+    while part := [r.id for r in generations.page(df, "id", after, 500).collect()]:
+        seen += part
+        after = part[-1]
+    assert seen == list(range(1200))
+    with pytest.raises(generations.GenerationError, match="INVALID_LIMIT"):
+        generations.page(df, "id", None, 501)
+    c = generations.cursor(scan="a", collection="files", after=5)
+    assert generations.read_cursor(c, scan="a")["after"] == 5
+    for bad in (c, "zz"):
+        with pytest.raises(generations.GenerationError, match="INVALID_CURSOR"):
+            generations.read_cursor(bad, scan="b")
+
+
+def test_inventory(spark, tmp_path):
+    root = tmp_path / "repo"
+    for name, data in {"a.py": b"x = 1\n", ".h.py": b"y", "_x.py": b"z", "b.bin": b"\0", "c.js": b"\xff\xfe", "img.png": b"p", "skip/me.py": b"n", "keep/a.log": b"l", "big.ts": b"123456789", ".gitignore": b"skip/\n*.log\n!keep/b.log\n", "keep/b.log": b"l", "d.rs": b"a\0b"}.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+    os.symlink("/etc/passwd", root / "link.py")
+    rows = {r.path: r for r in inv.inventory(spark, str(root), max_source_bytes=8).collect()}
+    assert set(rows) == {"a.py", ".h.py", "_x.py", "b.bin", "c.js", "img.png", "big.ts", ".gitignore", "keep/b.log", "d.rs"}
+    assert rows["big.ts"].excluded_reason == "SOURCE_SIZE_LIMIT: size=9 limit=8" and rows["big.ts"].content_sha256 is None
+    assert rows["c.js"].read_error == "BINARY_CONTENT" and rows["d.rs"].read_error == "BINARY_CONTENT" and rows["c.js"].content_sha256 and rows["img.png"].content_sha256 is None and rows["a.py"].read_error is None
+    df = inv.inventory(spark, str(root)).where("path in ('a.py', 'big.ts')").cache()
+    df.count()
+    (root / "a.py").write_text("changed")
+    got = {r.path: r for r in inv.verified(df, str(root)).collect()}
+    assert got["a.py"].error.startswith("STALE_SOURCE") and got["a.py"].content is None and got["big.ts"].error is None
+    with pytest.raises(OSError):
+        inv.read_confined(str(root), "../x")
+    with pytest.raises(OSError):
+        inv.read_confined(str(root), "link.py")
+
+
+def test_contracts(spark):
+    files = spark.createDataFrame(
+        [
+            ("app.js", "const users = require('./routes/users');\napp.use('/api/v1', users);\napp.get('/health', h);"), ("routes/users.js", "router.get('/users/:id', requireAuth, f); router.post('/users', g)"), ("m.py", "@app.get('/items')\ndef f(): pass"),
+            ("c.ts", "@Controller('cats')\nclass C { @Get(':id') a() {} @Post() b() {} }"), ("G.java", '@GetMapping("/g")'), ("x.go", 'r.HandleFunc("/z", f)'), ("y.rs", '.route("/q", get(h))'), ("k.cs", '[HttpGet("k")]'), ("l.php", "Route::get('/l', 'x')"), ("r.rb", "get '/r'"), ("n.py", None), (None, "x"),
+        ],
+        "path string, content string",
+    )
+    e = contracts.endpoints(files)
+    got = {(r.method, r.endpoint, r.auth) for r in e.collect()}
+    assert got == {("GET", "/health", "None"), ("GET", "/api/v1/users/:id", "Bearer / Session"), ("POST", "/api/v1/users", "None"), ("GET", "/items", "None"), ("GET", "/cats/:id", "None"), ("POST", "/cats", "None"), ("GET", "/g", "None"), ("GET", "/z", "None"), ("GET", "/q", "None"), ("GET", "/k", "None"), ("GET", "/l", "None"), ("GET", "/r", "None")}
+    doc = json.loads(contracts.openapi(contracts.operations(e)))
+    assert doc["paths"]["/api/v1/users/{id}"]["get"]["parameters"][0]["name"] == "id" and doc["openapi"].startswith("3.1")
+    events = contracts.socket_events(spark.createDataFrame([("client/a.js", "s.on('x', f); s.emit('y')"), ("srv.js", "io.emit('x'); io.on('disconnect', f)")], "path string, content string"))
+    assert {(r.event_name, r.direction) for r in contracts.merged_events(events).collect()} == {("x", "S2C"), ("y", "C2S")}
+    assert contracts.endpoints(files.limit(0)).count() == 0
+
+
+def test_infra(spark):
+    compose = "services:\n  db:\n    image: postgres:16\n    ports:\n      - \"5432:5432\"\n    environment:\n      - POSTGRES_USER=x\n  web:\n    image: nginx\nvolumes:\n  v:\n"
+    files = spark.createDataFrame([("docker-compose.yml", compose), ("Dockerfile", "FROM python:3\nEXPOSE 80\nENV A=1"), ("k.yaml", "kind: Deployment\nmetadata:\n  name: api\n"), ("package.json", '{"name": "a", "dependencies": {"b": "1"}}'), ("p/package.json", '{"name": "b"}'), ("q/package.json", "{"), ("Makefile", "build: x\n\tgo\ntest:\n")], "path string, content string")
+    s = {r.service: r for r in infra.services(files).collect()}
+    assert s["db"].role == "database" and s["db"].ports == ["5432:5432"] and s["db"].env_keys == ["POSTGRES_USER"] and s["web"].role == "gateway" and s["api"].pattern == "kubernetes"
+    assert infra.primary_orchestration(infra.services(files)).first()[0] == "kubernetes"
+    assert {r.package: r.internal for r in infra.dependencies(infra.manifests(files)).collect()} == {"a": ["b"], "b": []}
+    assert {r.target for r in infra.make_targets(files).collect()} == {"build", "test"}
+    paths = spark.createDataFrame([("r", "yarn.lock"), ("r", "package-lock.json"), ("s", "x.py")], "repo string, path string")
+    assert {r.repo: r.manager for r in infra.package_managers(paths).collect()} == {"r": "yarn", "s": "unknown"}
+
+
+def test_report(spark, tmp_path):
+    rel = spark.createDataFrame([("r1", "a", "b", "calls", "resolved", ["e1"]), ("r2", "a", "c", "calls", "resolved", ["nope"]), ("r3", "a", None, "calls", "unresolved", ["e1"])], "relation_id string, from_id string, to_id string, kind string, resolution string, evidence_ids array<string>")
+    ev = spark.createDataFrame([("e1", "p")], "evidence_id string, path string")
+    assert {r.relation_id: r.standing for r in report.relation_view(rel, ev, "code").collect()} == {"r1": "confirmed", "r2": "hypothesis", "r3": "hypothesis"}
+    assert tuple(report.precision_recall(rel, rel.limit(2), ["relation_id"]).first()) == (2 / 3, 1.0)
+    pages = report.documentation({"relations": rel.select("relation_id", "kind")})
+    assert report.export(pages, str(tmp_path))["written"] == ["relations.md"]
+    (tmp_path / "relations.md").write_text("mine")
+    assert report.export(pages, str(tmp_path))["conflict"] == ["relations.md"]
+    assert "## Decision" in report.decision_record(1, "t", "c", "d", "e")
+
+
+def test_stream(spark, tmp_path):
+    schema = "scan_id string, path string, content_sha256 string, read_error string, repo string, loaded_at timestamp"
+    from datetime import datetime as D
+
+    for i, rows in enumerate([[("s", "a", "1", None, "r", D(2024, 1, 1)), ("s", "a", "2", None, "r", D(2024, 1, 2))], [("s", "a", "3", "E", "r", D(2024, 1, 3)), ("s", "b", "9", None, "r", D(2024, 1, 1))]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in/{i}")
+    src = spark.read.parquet(f"{tmp_path}/in/*")
+    stream = spark.readStream.schema(src.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = inventory_stream.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["scan_id", "path"])
+    q.awaitTermination(120)
+    assert {(r.path, r.content_sha256) for r in inventory_stream.current(spark, f"{tmp_path}/out", ["scan_id", "path"]).collect()} == {("a", "3"), ("b", "9")}
+    assert {tuple(r)[2:] for r in inventory_stream.deliveries(src).collect()} == {(2, 0), (1, 0), (1, 1)}

@@ -52,7 +52,7 @@ qexpr = qunary (binop qunary)*
 quick = ("return" qexpr? / "goto" ident / (`(?:const\s+)?(?:unsigned\s+|struct\s+)?(?!(?:return|goto|else|case|sizeof|typedef|break|continue|do)\b)[A-Za-z_]\w*+\s*[\s*]\s*` ident '=')? qexpr) `;`
 parens = '(' qexpr ')' / '(' expr ')'
 statement = quick / !`[})]` other
-other = `;` / block / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (declaration / expr? `;`) expr? `;` expr? ')' statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
+other = `;` / block / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (`(?:int|size_t|long|unsigned)\s` qname '=' qatom `;` qexpr `;` qunary ')' / (declaration / expr? `;`) expr? `;` expr? ')') statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
 expr = assign (',' assign)*
 binop = `<<=?|>>=?|&&|\|\||[<>=!+*/%&|^-]=|[+*/%&|^<>=-]`
 assign = unary (binop unary / `\?` expr? ':' assign)*
@@ -114,7 +114,7 @@ quick = ("return" / ("throw" "new") / (qtype ident '=') / qname '=')? qexpr `;`
 parens = '(' qexpr ')' / '(' expr ')'
 localdecl = modifier* ("var" &`[A-Za-z_$]` declarator / type declarator (',' declarator)*)
 statement = quick / !`[})]` other
-other = `;` / block / "if" parens statement ("else" statement)? / "for" '(' (modifier* type ident ':' expr / (localdecl / exprs)? `;` expr? `;` exprs?) ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" expr? `;` / "throw" expr `;` / trys / switch / "break" ident? `;` / "continue" ident? `;` / "yield" !`[=.(\[+-]` expr `;` / "synchronized" '(' expr ')' block / "assert" expr (':' expr)? `;` / typedecl / ident ':' statement / localdecl `;` / expr `;`
+other = `;` / block / "if" parens statement ("else" statement)? / "for" '(' (qtype ident ':' qexpr &`\)` / modifier* type ident ':' expr / (localdecl / exprs)? `;` expr? `;` exprs?) ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" expr? `;` / "throw" expr `;` / trys / switch / "break" ident? `;` / "continue" ident? `;` / "yield" !`[=.(\[+-]` expr `;` / "synchronized" '(' expr ')' block / "assert" expr (':' expr)? `;` / typedecl / ident ':' statement / localdecl `;` / expr `;`
 trys = "try" ('(' resource (`;` resource)* `;`? ')')? block ("catch" '(' modifier* type (`\|` type)* ident ')' block)* ("finally" block)?
 resource = localdecl / expr
 switch = "switch" '(' expr ')' '{' (caselabel ('->' (block / "throw" expr `;` / expr `;`) / ':' statement*))* '}'
@@ -199,7 +199,7 @@ parens = '(' qexpr ')' / '(' expr ')'
 local = modifier* ("var" / type) declarator (',' declarator)*
 localfunc = modifier* type ident tparams? params constraint* (block / '=>' expr `;`)
 statement = quick / !`[})]` other
-other = `;` / block / "if" parens statement ("else" statement)? / "foreach" '(' (("var" / type) (ident / tuplepat) / tuplepat) "in" expr ')' statement / "await" "foreach" '(' ("var" / type) ident "in" expr ')' statement / "for" '(' (local / exprs)? `;` expr? `;` exprs? ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" ("ref"? expr)? `;` / "throw" expr? `;` / trys / "switch" '(' expr ')' '{' (label+ statement*)* '}' / "break" `;` / "continue" `;` / "goto" ("case" expr / "default" / ident) `;` / "yield" ("return" expr / "break") `;` / "await"? "using" ('(' (local / expr) ')' statement / local `;`) / "lock" parens statement / ("checked" / "unchecked" / "unsafe") block / "fixed" '(' local ')' statement / localfunc / local `;` / ident ':' statement / expr `;`
+other = `;` / block / "if" parens statement ("else" statement)? / "foreach" '(' ("var" ident "in" qexpr ')' / (("var" / type) (ident / tuplepat) / tuplepat) "in" expr ')') statement / "await" "foreach" '(' ("var" / type) ident "in" expr ')' statement / "for" '(' (local / exprs)? `;` expr? `;` exprs? ')' statement / "while" parens statement / "do" statement "while" parens `;` / "return" ("ref"? expr)? `;` / "throw" expr? `;` / trys / "switch" '(' expr ')' '{' (label+ statement*)* '}' / "break" `;` / "continue" `;` / "goto" ("case" expr / "default" / ident) `;` / "yield" ("return" expr / "break") `;` / "await"? "using" ('(' (local / expr) ')' statement / local `;`) / "lock" parens statement / ("checked" / "unchecked" / "unsafe") block / "fixed" '(' local ')' statement / localfunc / local `;` / ident ':' statement / expr `;`
 tuplepat = '(' (("var" / type) ident / ident / tuplepat) (',' (("var" / type) ident / ident / tuplepat))* ')'
 label = "case" pattern ("when" expr)? ':' / "default" ':'
 trys = "try" block ("catch" ('(' type ident? ')')? ("when" '(' expr ')')? block)* ("finally" block)?
@@ -353,9 +353,10 @@ quick = ("return" qexpr (',' qexpr)* / "defer" qcall / qname (`:=|[-+*/|&^%]?=`
 statement = quick / !`[}\x04]` other
 other = decl / block / ifs / fors / switch / select / "return" exprs? / "go" expr / "defer" expr / "goto" ident / "break" ident? / "continue" ident? / "fallthrough" / ident ':' !`=` statement? / simple
 simple = exprs (`:=|(?:<<|>>|&\^|[-+*/%&|^])?=(?!=)` ("range" expr / exprs) / `\+\+|--` / `<-` expr)?
-ifs = "if" (simplenb? `;`)? simplenb block ("else" (ifs / block))?
+qhead = (`(?!(?:KW)(?!\w))[^\W\d]\w*+` `:=` qcall `;`)? qexpr &`\{`
+ifs = "if" (qhead / (simplenb? `;`)? simplenb) block ("else" (ifs / block))?
 simplenb = nexprs (`:=|(?:<<|>>|&\^|[-+*/%&|^])?=(?!=)` ("range" nexpr / nexprs) / `\+\+|--` / `<-` nexpr)? / "range" nexpr
-fors = "for" (simplenb? `;` simplenb? `;` simplenb? / simplenb)? block
+fors = "for" (qname (',' qname)? `:=` "range" qcall &`\{` / simplenb? `;` simplenb? `;` simplenb? / simplenb)? block
 switch = "switch" (simplenb? `;`)? simplenb? '{' (("case" (type / expr) (',' (expr / type))* / "case" exprs / "default") ':' statements)* '}'
 select = "select" '{' (("case" simple / "default") ':' statements)* '}'
 exprs = expr (',' expr)*
@@ -439,10 +440,10 @@ qfull = qlist / `array_\w++` '(' qatom ',' qfn ')' / qcall (binop qcall)*
 quick = ("return" / qvar ('[' qatom? ']')? '=')? qfull `;`
 qparams = '(' (`\$\w++` ('=' (literal / '[' ']' / `(?:true|false|null)(?!\w)`))? (',' `\$\w++` ('=' (literal / '[' ']' / `(?:true|false|null)(?!\w)`))?)*)? ')'
 statement = quick / !`\}` other
-other = `;` / block / close / ifs / "foreach" '(' expr "as" (expr '=>')? `&`? expr ')' body4each / "for" '(' exprs? `;` exprs? `;` exprs? ')' body4for / "while" '(' expr ')' (':' statement* `(?i:endwhile)(?!\w)` end / statement) / "do" statement "while" '(' expr ')' end / "return" expr? end / "echo" exprs end / trys / switch / "break" number? end / "continue" number? end / "throw" expr end / "namespace" (name? block / name end) / "use" !`\(` usedecl end / "const" (word '=' expr (',' word '=' expr)*) end / "global" var (',' var)* end / "static" &`\$` (var ('=' expr)? (',' var ('=' expr)?)*) end / "unset" '(' exprs `,`? ')' end / "declare" '(' word '=' expr (',' word '=' expr)* ')' (end / block / statement) / "goto" ident end / classlike / attr* function / ident ':' !':' / expr end
+other = `;` / block / close / ifs / "foreach" '(' (qvar "as" qvar ')' / expr "as" (expr '=>')? `&`? expr ')') body4each / "for" '(' exprs? `;` exprs? `;` exprs? ')' body4for / "while" '(' expr ')' (':' statement* `(?i:endwhile)(?!\w)` end / statement) / "do" statement "while" '(' expr ')' end / "return" expr? end / "echo" exprs end / trys / switch / "break" number? end / "continue" number? end / "throw" expr end / "namespace" (name? block / name end) / "use" !`\(` usedecl end / "const" (word '=' expr (',' word '=' expr)*) end / "global" var (',' var)* end / "static" &`\$` (var ('=' expr)? (',' var ('=' expr)?)*) end / "unset" '(' exprs `,`? ')' end / "declare" '(' word '=' expr (',' word '=' expr)* ')' (end / block / statement) / "goto" ident end / classlike / attr* function / ident ':' !':' / expr end
 body4each = ':' statement* `(?i:endforeach)(?!\w)` end / statement
 body4for = ':' statement* `(?i:endfor)(?!\w)` end / statement
-ifs = "if" '(' expr ')' (':' statement* ("elseif" '(' expr ')' ':' statement*)* ("else" ':' statement*)? `(?i:endif)(?!\w)` end / statement (`(?i:elseif|else\s+if)(?!\w)` '(' expr ')' statement)* ("else" statement)?)
+ifs = "if" '(' (`empty\s*\(` qvar ')' ')' / expr ')') (':' statement* ("elseif" '(' expr ')' ':' statement*)* ("else" ':' statement*)? `(?i:endif)(?!\w)` end / statement (`(?i:elseif|else\s+if)(?!\w)` '(' expr ')' statement)* ("else" statement)?)
 trys = "try" block ("catch" '(' type var? ')' block)* ("finally" block)?
 switch = "switch" '(' expr ')' ('{' case* '}' / ':' case* `(?i:endswitch)(?!\w)` end)
 case = ("case" expr / "default") `[:;]` statement*

@@ -51,17 +51,17 @@ member = `;` / qmember / "static" block / DECO* MMOD (`(?:get|set)(?![\w$])(?!\s
 # The most common statements, without nesting: one pattern each.
 qname = `(?!(?:KW)(?![\w$]))[^\W\d][\w$]*+(?:\??\.[^\W\d][\w$]*+)*+(?![\w$])` / `this(?:\.[\w$]++)*+(?![\w$])` / `true|false|null(?![\w$])`
 qatom = string / number / qname / '[' ']' / '{' '}' / `\x60[^\x60\\$]*+(?:\$\{[\w.]++\}[^\x60\\$]*+)*+\x60`
-qarrow = '(' ident ')' `=>` qname (binop qatom)?
-qargs = '(' ((qarrow / qatom) (',' (qarrow / qatom))*)? ')'
-qcall = ("new" / "void")? qatom qargs? ('[' qatom ']' / `\.` word qargs? / qargs)*
-qterm = `!`? qcall (binop qcall)*
-qlist = '[' (qatom (',' qatom)*)? ']'
-qexpr = qlist / qterm (`\?(?![.?])` qterm ':' qterm)?
-qfunc = "function" ident? '(' (ident (',' ident)*)? ')' '{' ("return"? qexpr `;`?)? '}'
-qobject = '{' word ':' qexpr (',' word ':' qexpr)* '}'
+qarrow = '(' `[\w$]++` ')' `=>` `[\w$.]++` (binop `[\w$.]++|"[^"\\\n]*+"`)?
+qargs = '(' ((qarrow / qatom) `,|(?=\))`)* ')'
+qcall = ("new" / "void")? qatom (qargs / '[' qatom ']' / `\.` word)*
+qterm = `!`? qcall (binop `!`? qcall)*
+qlist = '[' (qatom `,|(?=\])`)* ']'
+qexpr = qlist / qterm (`\?(?![.?])` qcall ':' qcall)?
+qfunc = "function" `[\w$]*+` '(' (`[\w$]++` `,|(?=\))`)* ')' '{' ("return"? qexpr `;`?)? '}'
+qobject = '{' (word ':' qterm `,|(?=\})`)+ '}'
 qparam = ident QTYPE (`=(?![=>])` qatom)? &`[,)]`
 qparams = '(' (qparam (',' qparam)*)? ')'
-quick = ("return" / "throw" / ("const" / "let" / "var") ident QTYPE '=' / !`(?:function|class|async|import|export|interface|type|declare|namespace|module|abstract|enum|let)(?![\w$])`) (qobject / qfunc !`[(.\[]` / qexpr) (',' ident '=' qexpr)* (`;` / &`\}`) / `!` qfunc qargs (`;` / &`\}`) / "function" ident '(' (ident (',' ident)*)? ')' '{' ("return"? qexpr `;`?)? '}'
+quick = ("return" / "throw" / ("const" / "let" / "var") ident QTYPE '=' / !`(?:function|class|async|import|export|interface|type|declare|namespace|module|abstract|enum|let)(?![\w$])`) (qobject / qfunc !`[(.\[]` / qexpr (',' `[\w$]++` '=' qexpr)*) (`;` / &`\}`) / `!` qfunc qargs (`;` / &`\}`) / &`function\s+[\w$]` qfunc
 parens = '(' qexpr ')' / '(' expr ')'
 statement = quick / !`[})]` other
 other = `;` / block / vardecl end / (`async(?![\w$])`)? &"function" function / "async" function / &`@|(?:class|abstract)(?![\w$])` class / ifs / fors / "while" parens statement / "do" statement "while" '(' expr ')' `;`? / returns / "throw" expr end / trys / switch / "break" ident? end / "continue" ident? end / "debugger" end / &"import" import / &`@|export(?![\w$])` export / TSSTATEMENT ident ':' statement / !`\{` !"function" !"class" expr end

@@ -172,9 +172,11 @@ qatom = literalq / qname
 literalq = `"[^"\\\#]*+"(?!:)` / `'[^'\\]*+'(?!:)` / number / `(?:nil|true|false)(?![\w?!])`
 qhash = '{' `[a-z_]\w*+:(?!:)` qatom (',' `[a-z_]\w*+:(?!:)` qatom)* '}'
 qblock = '{' `\|[a-z_]\w*+\|` qatom (binop qatom)? '}'
-quick = `def [a-z_]\w*+[?!]?` `;` (qname ('[' qatom ']')? `;`)? "end" &`[;\x04}]` / (qname `(?:=|<<|\+=)(?![=~>])` (qhash / qatom qblock / qatom) / `[a-z_.]++\(` literalq ')' / `raise ` const ',' literalq / qatom) &`[;\x04}]|end\b`
+quick = `def [a-z_]\w*+[?!]?` `;` (`@?[a-z_]\w*+(?:\[\d+\])?` `;`)? "end" &`[;\x04}]` / (qname `(?:=|<<|\+=)(?![=~>])` (qhash / qatom qblock / qatom) / `[a-z_.]++\(` literalq ')' / `raise ` const ',' literalq / qatom) &`[;\x04}]|end\b`
 qcond = qname `(?=[ \t]*(?:\x04|;|then))`
-stmt = quick / !`(?:end|else|elsif|when|rescue|ensure|then)(?![\w?!:])|\}` expr1 (("if" / "unless" / "while" / "until" / "rescue") expr1)*
+qeach = qname `do[ \t]*\|[a-z_]\w*+\|` stmts "end" &`[;\x04}]|end\b`
+qif = ("if" / "unless") qcond then stmts "end" &`[;\x04}]|end\b`
+stmt = quick / qif / qeach / !`(?:end|else|elsif|when|rescue|ensure|then)(?![\w?!:])|\}` expr1 (("if" / "unless" / "while" / "until" / "rescue") expr1)*
 expr1 = notexpr (("and" / "or") sepnl notexpr)*
 sepnl = `[\x04\s]*+`
 notexpr = "not" notexpr / special / massign / expr ("in" pattern / '=>' pattern)?

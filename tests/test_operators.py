@@ -200,3 +200,41 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert {(r.path, r.content_sha256) for r in inventory_stream.current(spark, f"{tmp_path}/out", ["scan_id", "path"]).collect()} == {("a", "3"), ("b", "9")}
     assert {tuple(r)[2:] for r in inventory_stream.deliveries(src).collect()} == {(2, 0), (1, 0), (1, 1)}
+
+
+def test_models(spark):
+    from lodestrata.operators import models
+
+    files = spark.createDataFrame(
+        [
+            ("u.ts", "const userSchema = new Schema({\n  email: { type: String, required: true, unique: true },\n  age: Number,\n  deletedAt: Date,\n}, { timestamps: true });\nexport const User = mongoose.model('User', userSchema);\nconst orphanSchema = new Schema({ a: String });"),
+            ("s.prisma", "model Post {\n  id Int @id\n  title String?\n  createdAt DateTime\n}"), ("m.py", "class Item(Base):\n    __tablename__ = 'items'\n    id = Column(Integer, primary_key=True)\n"), ("E.ts", "@Entity('cats')\nexport class Cat {}"),
+            ("J.java", '@Entity\n@Table(name = "dogs")\npublic class Dog {}'), ("C.cs", "public class Row {} class X { DbSet<Row> Rows; }"), ("g.go", "type Car struct {\n gorm.Model\n}"), ("n.py", None), ("o.java", "public class Plain {}"), ("e.ts", "enum OrderStatus { Open, Paid, Sent }"),
+        ],
+        "path string, content string",
+    )
+    got = {r.model: r for r in models.models(files).collect()}
+    assert {k: (r.framework, r.store) for k, r in got.items()} == {"User": ("Mongoose", "users"), "orphan": ("Mongoose", "orphans"), "Post": ("Prisma", "post"), "Item": ("SQLAlchemy", "items"), "Cat": ("TypeORM", "cats"), "Dog": ("JPA/Hibernate", "dogs"), "Row": ("EFCore", "rows"), "Car": ("GORM", "cars")}
+    assert [tuple(f) for f in got["User"].fields][:2] == [("email", "String", True, True), ("age", "Number", False, False)] and got["User"].timestamps and got["User"].soft_delete and not got["orphan"].registered
+    assert [tuple(r)[2:] for r in models.state_enums(files).collect()] == [("Open", "Paid", "TRANSITION_TO_PAID"), ("Paid", "Sent", "TRANSITION_TO_SENT")]
+    assert models.models(files.limit(0)).count() == 0
+
+
+def test_handlers(spark):
+    from lodestrata.operators import models
+
+    text = "router.post('/a', (req, res) => { const { name, age: n } = req.body; const q = req.query.page; res.status(201).json({}) });\nrouter.get('/b', requireUser, h);\napp.put('/c', v(z.object({ x: z.string(), y: z.number() })))"
+    got = {r.route: r for r in models.handlers(spark.createDataFrame([("a.js", text), ("b.js", None)], "path string, content string")).collect()}
+    assert got["/a"].body_fields == ["name", "age"] and got["/a"].query_params == ["page"] and got["/a"].statuses == ["201"] and got["/b"].security == ["bearerAuth"] and got["/b"].statuses == ["200"] and got["/c"].body_fields == ["x", "y"]
+
+
+def test_masking(spark):
+    from lodestrata.functions import masking
+
+    text = "Call `a()` of class Foo in UserService twice"
+    masked, kept = masking.mask_code(text)
+    assert "Foo" not in masked and "UserService" not in masked and masking.unmask_code(masked, kept) == text
+    masking.register_bundle("de", {"hi": "Hallo {name}"})
+    assert masking.message("hi", "de", name="X") == "Hallo X" and masking.message("hi", "fr") == "hi"
+    df = spark.createDataFrame([("/r/a.py",), ("/home/me/b",), ("/etc/x",), (None,)], "p string")
+    assert [r[0] for r in df.select(masking.scrub_host_path(F.col("p"), "/r/")).collect()] == ["a.py", "[USER_HOME]/b", "/etc/x", None]

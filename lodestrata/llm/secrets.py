@@ -46,6 +46,7 @@ ISSUED = re.compile(
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
     r")"
 )
+GENERAL = re.compile(r"(?!(?:npm|hf|hvs|whsec|ghp|gho|ghs|ghu|ghr|sk|rk)[_.])[a-z]{2,6}[_.][a-z0-9]{24,40}\Z")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 OPAQUE_BLOCK = re.compile(
     r"-----BEGIN (?:PUBLIC KEY|[A-Z0-9 ]*CERTIFICATE(?: REQUEST)?|[A-Z0-9 ]+ PUBLIC KEY(?: BLOCK)?|PGP SIGNATURE)-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)"
@@ -92,7 +93,7 @@ REFERENCE = re.compile(
     r"|^@|^\$\(|^#\{|^\*+$|^%s$|^%\(|^\{\{"
 )
 PLACEHOLDER_WORDS = re.compile(
-    r"redacted|placeholder|change[-_ ]?me|replace[-_ ]?(?:me|this)|your[-_ ]|example|dummy|insert[-_ ]|sample|todo|fixme|tbd|masked|hidden|removed|goes[-_ ]here|from the|team vault|undefined|not[-_ ]?set|xxxx|put[-_ ]|enter[-_ ]|fill[-_ ]?in|secret[-_ ]here|token[-_ ]here|<|>|^(?:password|passwd|secret|token|null|none|nil|true|false|string|str|unknown|empty|n/?a|bearer|basic|primary|oauth2?|default|optional|required|user_password|kennwort|contraseña|apikey|api[-_]key)$",
+    r"redacted|placeholder|change[-_ ]?me|replace[-_ ]?(?:me|this)|your[-_ ]|example|(?<![A-Za-z0-9])(?:dummy|todo|fixme|tbd)(?![A-Za-z0-9])|(?<![A-Za-z])insert[-_ ]|sample|masked|hidden|removed|goes[-_ ]here|from the|team vault|undefined|not[-_ ]?set|xxxx|(?<![A-Za-z])(?:put|enter)[-_ ]|fill[-_ ]?in|secret[-_ ]here|token[-_ ]here|<|>|^(?:password|passwd|secret|token|null|none|nil|true|false|string|str|unknown|empty|n/?a|bearer|basic|primary|oauth2?|default|optional|required|user_password|kennwort|contraseña|apikey|api[-_]key)$",
     re.I,
 )
 HEX = re.compile(r"^[0-9a-fA-F]+$")
@@ -118,6 +119,9 @@ def is_placeholder(value: str) -> bool:
 
 
 def _natural(value: str, vocabulary: str) -> bool:
+    """Words make it up. By chance a random string has many known subwords; a long mixed one is none of words."""
+    if len(value) >= 24 and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value) and entropy(value) >= 4:
+        return False
     return vocab.chars_per_subword(value, vocabulary) >= UNNATURAL
 
 
@@ -143,7 +147,7 @@ def is_secret(name: str, value: str, vocabulary: str) -> bool:
             return False
         return bool(re.search(r"\d", v)) or not _natural(v, vocabulary)
     if WEAK_NAME.search(low):
-        return len(v) >= 16 and not re.fullmatch(r"[a-z_-]+(?:[/.:][a-z_-]+)*", v) and not _natural(v, vocabulary) and not HEX.match(v)
+        return len(v) >= 16 and not re.fullmatch(r"[a-z_-]+(?:[/.:][a-z_-]+)*", v) and not _natural(v, vocabulary) and (not HEX.match(v) or (name.isupper() and len(v) >= 32))
     return False
 
 
@@ -188,7 +192,10 @@ def _scan(text: str, vocabulary: str, signature: bool, depth: int = 0) -> Iterat
         if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 16 and not re.search(r"redacted|\.\.\.|<", body, re.I) and len(set(body)) > 4:
             yield m.start(2), m.end(2), "private_key"
     for m in ISSUED.finditer(text):
-        if not inside(m.start()) and not is_placeholder(m[0]) and (re.search(r"\d", m[0]) or m[0].startswith("eyJ")) and not _natural(m[0], vocabulary):
+        if inside(m.start()) or is_placeholder(m[0]):
+            continue
+        # A known prefix is enough; the general shape must be a string that no words make up.
+        if not GENERAL.match(m[0]) or (re.search(r"\d", m[0]) and not _natural(m[0], vocabulary)):
             yield *m.span(), "token"
     for m in URI.finditer(text):
         if not is_placeholder(unquote(m[2])):

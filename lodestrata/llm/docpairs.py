@@ -58,6 +58,8 @@ CODE = re.compile(
     r"[;{}]\s*$|^\s*(?:return|if|for|while|const|let|var|import|from \S+ import|#include|using|throw|raise|yield|await|print|assert|def|fn|func|function|public|private|else|try|catch|except|class|elif|end|package|use)\b.*[()=;:{}].*$"
     r"|^\s*[\w.$>:\[\]'\"-]+\s*(?:=|\+=|-=|:=|==|=>|->)\s*\S+|^\s*[\w.$:>-]+\([^)]*\)\s*[;:]?\s*$|^\s*(?:\$|>>>|>|%|#)\s*\w+.*$|^\s*(?:curl|sqlcmd|psql|npm|pip|export|docker|kubectl|git|make|machine|wget|sudo)\s+\S+.*$|^\s*[\[{].*[\]}]\s*$|^\s*<[\w/][^>]*>\s*$"
 )
+#: Six words in a row are prose, whatever follows them.
+PROSE = re.compile(r"(?:[A-Za-zÀ-ÿ'’-]+,?\s+){6}")
 DATA = re.compile(
     r"^\s*(?:[\w-]+:\s*)?[A-Za-z0-9+/=_.-]{24,}\s*$|^-----(?:BEGIN|END) [A-Z0-9 ]+-----$|^\s*(?:integrity|icon|download|expected digest|digest|checksum|sha\d*|request id|trace id|x-api-key|authorization|user|password|passwd|login|token|pwd|host|server|commit|signed with|introduced in commit|since|version|author|date|created|last modified|file|module|fichero|datei)\b\s*[:=]?(?:\s+(?:\S+))?\W*$|^\s*Introduced in (?:commit|version|release)\b.*$|^\s*\w+=[^;]*;\w+=.*$|^\s*\w+://\S+\s*$|^\s*[\w-]+:\s*[\[*]\S+$",
     re.I,
@@ -84,7 +86,7 @@ def name_words(name: str) -> set[str]:
 
 def _content(text: str, own: set[str]) -> list[str]:
     """Words that say something beyond the name and grammar."""
-    return [w for w in WORD.findall(text) if w.lower() not in STOP and _stem(w) not in own and len(w) > 1]
+    return [w for w in WORD.findall(text) if w.lower() not in STOP and len(w) > 1 and not ((s := _stem(w)) in own or any(len(o) - len(s) == 1 and o.startswith(s) for o in own))]
 
 
 def described(docstring: str | None, name: str | None) -> str | None:
@@ -122,7 +124,7 @@ def described(docstring: str | None, name: str | None) -> str | None:
             continue
         if skip_code and raw[:1] in " \t":
             continue
-        kept += [part for part in re.split(r"(?<=[.!?])\s+", line) if not CODE.search(part)]
+        kept += [part for part in re.split(r"(?<=[.!?])\s+", line) if PROSE.match(part) or not CODE.search(part)]
     text = " ".join(kept)
     good = []
     for sentence in re.split(r"(?<=[.!?])\s+", text):

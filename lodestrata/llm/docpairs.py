@@ -163,7 +163,7 @@ def documented_pairs(symbols: DataFrame) -> DataFrame:
     """
     spark = symbols.sparkSession
     ship_package(spark)
-    own = symbols.select("symbol_id", "fqsn", "name", "kind", "signature_clean", "docstring_clean").where(callable_row(F.col("kind"), F.col("signature_clean"))).drop("kind").distinct()
+    own = symbols.select("symbol_id", "fqsn", "name", "kind", "signature_clean", "docstring_clean").where(callable_row(F.col("kind"), F.col("signature_clean"))).drop("kind")
     qualified = F.regexp_replace(F.regexp_replace(F.col("fqsn"), r"::<signature:[0-9a-f]+>$", ""), r"^.*?::", "")
     stem = F.regexp_replace(F.regexp_extract("fqsn", r"([^/\\:]+?)(?:::|$)", 1), r"\.[A-Za-z+]+$", "")
     schema = T.StructType([*own.schema.fields, T.StructField("documentation", T.StringType())])

@@ -252,7 +252,7 @@ ORACLES = {
     "paging": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200",
     "paging_byte_cap": """WITH p AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200),
   b AS (SELECT o_orderkey, strlen('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS json_bytes FROM p),
-  t AS (SELECT o_orderkey, json_bytes, sum(json_bytes) OVER (ORDER BY o_orderkey) AS total_bytes FROM b) SELECT * FROM t WHERE total_bytes <= 4000""",
+  t AS (SELECT o_orderkey, cast(json_bytes AS INT) AS json_bytes, cast(sum(json_bytes) OVER (ORDER BY o_orderkey) AS BIGINT) AS total_bytes FROM b) SELECT * FROM t WHERE total_bytes <= 4000""",
     "catalog_digest": """SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation)""",
     "publish_edges": "SELECT s_name, p_brand, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "nearest_scope": f"WITH {_CALLS} SELECT occurrence_id, {_LABEL} AS resolution, array_to_string(c, '|') AS candidates FROM res",

@@ -46,7 +46,11 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    archive = Path(tempfile.mkdtemp()) / "lodestrata.zip"
+    named = spark.conf.get("spark.checkpoint.dir", None) or ""
+    folder = named.removeprefix("file://") if named.startswith(("file://", "/")) else ""
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+    archive = Path(tempfile.mkdtemp(dir=folder or None)) / "lodestrata.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in PACKAGE_ROOT.rglob("*.py"):
             z.write(p, p.relative_to(PACKAGE_ROOT.parent))

@@ -46,18 +46,17 @@ BLOB_NAME = re.compile(r"(?:_dump|_data|_table|\.data|-dump)\.\w+$", re.I)
 COMMENT = re.compile(r"^\s*(?://+!?|#+|/?\*+!?|--+|<!--|;+|%+|\"\"\")\s?(.*?)\s*(?:\*/|-->)?\s*$")
 GENERATED_NOTE = re.compile(
     r"^(?:</?auto-?generated\s*/?>|@generated\b|auto-?generated\b(?!\s+(?:method|constructor|function|ids?|catch|stub|keys?|names?))|code generated\b|(?:this|the following) (?:file|code|module|class|source)\s+(?:was|is|has been)\s+(?:\w+ly\s+|auto-?)?(?:generated|created by|produced by|written by)|(?:automatically\s+)?generated\s+(?:by|from|with|using|on|file)\b|machine[- ](?:made|generated|written)\b|(?:written|produced|emitted|created) by \S+.*\bedits?\b|"
-    r"(?:please\s+)?do not (?:edit|modify|change)\b|(?:manual|hand|any) (?:changes|edits|modifications) (?:will|may) be (?:lost|overwritten)|changes (?:to this file )?will be (?:lost|overwritten)|"
+    r"(?:please\s+)?do not (?:edit|modify|change)\b(?!\s+(?:(?:the|an?|its?|these|those|any|either|both|one|how|what|when|while|without|until|unless|if)\b(?!.*\b(?:file|by hand|manually)\b)|this (?!file|code|module|class|source)))|(?:manual|hand|any) (?:changes|edits|modifications) (?:will|may) be (?:lost|overwritten)|changes (?:to this file )?will be (?:lost|overwritten)|"
     r"(?:diese|die) datei (?:wird|wurde)\b.*\b(?:erzeugt|generiert|erstellt)|(?:este|el) (?:archivo|fichero|código)\b.*\b(?:gener|cread|se produce)|ce fichier\b.*\bgénér|.*\bdo not edit(?:\s+(?:by hand|manually|this file))?\s*[.!-]*$|.*\bhands off\s*[.!]*$|.*\bedits? belongs? in the (?:source|template|schema)|.*\brun \S+(?: \S+)? instead\b)",
     re.I,
 )
 VENDORED_NOTE = re.compile(
-    r"^(?:this file is part of (?:the )?(?P<a>[\w.-]+?)(?: project| library)?\.?(?:\s+v?\d[\w.]*)?\.?$|(?:copied|vendored|imported|taken|adapted|borrowed|ported|derived) (?:verbatim |unchanged )?from (?:https?://(?:www\.)?\S*?(?P<b>[\w.-]+?)/?(?=\s|$)|(?P<c>@?[\w./-]+?))(?:@v?\d\S*)?(?:[ ,].*)?$|upstream\s*:\s*\S*?(?P<d>[\w-]+)(?:/tree|/blob|/raw|\.git|$|\s)\S*|(?:copyright\s+)?(?:\(c\)|©)\s*(?:[\d, -]+\s+)?(?:the\s+)?(?P<e>[\w.-]+) contributors\b.*|(?P<f>[\w@/.-]+)\s+v\d+\.\d+(?:\.\d+)?(?:[ |,-].*)?$|!?\s*(?P<g>[\w.-]+)\s+\d+\.\d+\.\d+\b.*|@license\s+(?P<h>[\w.-]+)\s+v?\d.*)",
+    r"^(?:this file is part of (?:the )?(?P<a>[\w.-]+?)(?: project| library)?\.?(?:\s+v?\d[\w.]*)?\.?$|(?:copied|vendored|imported|taken|adapted|borrowed|ported|derived) (?:verbatim |unchanged )?from (?:https?://(?:www\.)?\S*?(?P<b>[\w.-]+?)/?(?=\s|$)|(?:the\s+(?=.*\b(?:project|library|package|repository|distribution)\b))?(?P<c>(?!(?:the|an?|this|that|these|those|its?|our|their|each|both|here|above|below|parent|base|super|other|another|one|all|any)\b)@?[\w./-]+?))(?:@v?\d\S*)?(?:[ ,].*)?$|upstream\s*:\s*\S*?(?P<d>[\w-]+)(?:/tree|/blob|/raw|\.git|$|\s)\S*|(?:copyright\s+)?(?:\(c\)|©)\s*(?:[\d, -]+\s+)?(?:the\s+)?(?P<e>[\w.-]+) contributors\b.*|(?P<f>(?!@?(?:since|version|deprecated|added|removed|changed|fixed|new|introduced|until|before|after|from|in|as|of|for|with|requires?|needs?|see|api)\b)[\w@/.-]+)\s+v\d+\.\d+(?:\.\d+)?(?:[ |,-].*)?$|!?\s*(?P<g>(?!@?(?:since|version|deprecated|added|removed|changed|fixed|new|introduced|until|before|after|from|in|as|of|for|with|requires?|needs?|see|api)\b)[\w.-]+)\s+\d+\.\d+\.\d+\b.*|@license\s+(?P<h>[\w.-]+)\s+v?\d.*)",
     re.I,
 )
 REASONS = {V: r"(?i)vendor|third.?party", G: r"(?i)^generated|auto.?gen", M: r"(?i)minif", B: r"(?i)^data$|^data:|blob|^SOURCE_SIZE_LIMIT"}
 DATA_LINE = re.compile(r"^\s*(?:[\[{(]?\s*(?:[-+]?(?:0x[\da-fA-F]+|\d+(?:\.\d+)?)\s*[,;]?\s*){4,}[\])}]?[,;]?|[\"'`][A-Za-z0-9+/=_-]{30,}[\"'`]\s*[+.,;\\]?|[A-Za-z0-9+/=]{40,}|INSERT\s+INTO\b.*\bVALUES\s*\(.*|\(?(?:\s*(?:-?\d[\d.]*|'[^']*'|\"[^\"]*\"|null)\s*,){3,}.*\)?[,;]?)\s*$", re.I)
 DIGITS = re.compile(r"\d+")
-HEAD_LINES = 14
 
 
 def _own(name: str | None, repo: str | None) -> bool:
@@ -79,7 +78,7 @@ def evidence(path: str | None, content: str | None, repo: str | None = None) ->
         return phi
     lines = content.split("\n")
     total = len(content)
-    notes = [m[1] for m in map(COMMENT.match, lines[:HEAD_LINES]) if m]
+    notes = [m[1] for m in map(COMMENT.match, lines) if m]
     if any(GENERATED_NOTE.match(n) for n in notes):
         phi[G] += 5.0
     for n in notes:

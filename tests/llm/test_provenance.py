@@ -30,6 +30,16 @@ def test_own_notice_is_not_vendored():
     assert evidence("a.py", "# This file is part of tool.\n" + CODE, "acme/tool")[3] == evidence("a.py", CODE, "acme/tool")[3]
 
 
+def test_notes_count_wherever_they_stand():
+    licence = "".join(f"# Line {i} of the licence text.\n" for i in range(40))
+    label = lambda text: max(range(5), key=lambda i: (evidence("src/a.py", text, "acme/tool")[i], -i))
+    assert label(licence + "# This file was automatically generated from a.yaml.\n" + CODE) == 1
+    assert label(CODE + licence + CODE + "# @generated by tool\n") == 1
+    assert label(licence + "# Copied from carob@1.2.3 on 2024-01-01\n" + CODE) == 3
+    for remark in ("do not change the order of these calls", "taken from the request", "derived from its parent", "@since v1.2", "since 1.2.3", "Auto-generated method stub"):
+        assert label(CODE + licence + f"    # {remark}\n" + CODE) == 0, remark
+
+
 def _brute(files):
     """Exact marginals of a small tree by enumeration."""
     dirs = {""}

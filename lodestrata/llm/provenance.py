@@ -57,6 +57,12 @@ VENDORED_NOTE = re.compile(
 REASONS = {V: r"(?i)vendor|third.?party", G: r"(?i)^generated|auto.?gen", M: r"(?i)minif", B: r"(?i)^data$|^data:|blob|^SOURCE_SIZE_LIMIT"}
 DATA_LINE = re.compile(r"^\s*(?:[\[{(]?\s*(?:[-+]?(?:0x[\da-fA-F]+|\d+(?:\.\d+)?)\s*[,;]?\s*){4,}[\])}]?[,;]?|[\"'`][A-Za-z0-9+/=_-]{30,}[\"'`]\s*[+.,;\\]?|[A-Za-z0-9+/=]{40,}|INSERT\s+INTO\b.*\bVALUES\s*\(.*|\(?(?:\s*(?:-?\d[\d.]*|'[^']*'|\"[^\"]*\"|null)\s*,){3,}.*\)?[,;]?)\s*$", re.I)
 DIGITS = re.compile(r"\d+")
+#: What a long line of data is made of: strings, other values, keys, separators. Possessive, so a scan is linear.
+LITERAL = re.compile(r"""("(?:[^"\\]|\\.)*+"?|'(?:[^'\\]|\\.)*+'?)|((?<![\w.])[-+]?(?:0x[\da-f]++|\d[\d.]*+(?:e[-+]?\d++)?)[flu]{0,3}(?!\w)|\b(?:null|true|false|none|nil)\b)|\b[a-z_]\w*+\s*+:(?!:)|[\s,;:|[\]{}()]++""", re.I)
+INSERT = re.compile(r"INSERT\s+INTO\b.*?\bVALUES\s*\(", re.I)
+LEADING_COMMENT = re.compile(r"(?:/\*.*?\*/\s*)+")
+#: A line, or a string with spaces, is long beyond this many characters; up to the second bound DATA_LINE judges lines too.
+LONG, LONGEST_PATTERN = 250, 2_000
 
 
 def _own(name: str | None, repo: str | None) -> bool:
@@ -64,6 +70,21 @@ def _own(name: str | None, repo: str | None) -> bool:
     return bool(name) and bool(repo) and name.lower().strip(".") in {p for p in re.split(r"[/\s]", repo.lower())} | {repo.lower()}
 
 
+def of_values(line: str) -> bool:
+    """Whether a long line consists of data: four values or more, and hardly anything but values and separators."""
+    if INSERT.match(line):
+        return True
+    values = covered = 0
+    for m in LITERAL.finditer(line):
+        n = m.end() - m.start()
+        # A long query or message is a string with words, not a value.
+        if m[1] and n > LONG and line.count(" ", m.start(), m.end()) >= 0.02 * n:
+            continue
+        covered += n
+        values += bool(m[1] or m[2])
+    return values >= 4 and covered >= 0.9 * len(line)
+
+
 def evidence(path: str | None, content: str | None, repo: str | None = None) -> list[float]:
     """Log-evidence of a file's name and content for each label."""
     phi = [1.2, 0.0, 0.0, 0.0, 0.0]
@@ -86,26 +107,34 @@ def evidence(path: str | None, content: str | None, repo: str | None = None) ->
         if m and not _own(next((g for g in m.groups() if g), None), repo):
             phi[V] += 6.0
             break
-    dense = data = solid = 0
-    for line in lines:
-        n = len(line)
-        if n > 250 and (spaces := line.count(" ")) < 0.08 * n:
-            # A long query or message has words and no code marks, a table in one line has no spaces.
-            if sum(map(line.count, ";{}()")) > 0.05 * n:
-                dense += n
-            elif spaces < 0.02 * n:
-                data += n
+    dense = data = solid = code = 0
     templates: Counter[str] = Counter()
     commas: Counter[int] = Counter()
-    code = 0
     for line in lines:
+        n = len(line)
         s = line.strip()
-        if len(s) < 4 or len(s) > 2_000 or COMMENT.match(line) and not s.startswith(("#define", "#[")):
+        if n > LONG:
+            s = LEADING_COMMENT.sub("", s, count=1) if s.startswith("/*") else s
+        remark = bool(COMMENT.match(s)) and not s.startswith(("#define", "#["))
+        counted = False
+        if n > LONG:
+            spaces = line.count(" ")
+            if not remark and of_values(s):
+                data += n
+                counted = True
+            elif spaces < 0.08 * n:
+                # A long query or message has words and no code marks, a table in one line has no spaces.
+                if sum(map(line.count, ";{}()")) > 0.05 * n:
+                    dense += n
+                elif spaces < 0.02 * n:
+                    data += n
+                    counted = True
+        if len(s) < 4 or remark:
             continue
         solid += len(s)
         code += 1
-        if DATA_LINE.match(s):
-            data += len(line)
+        if not counted and n <= LONGEST_PATTERN and DATA_LINE.match(s):
+            data += n
         commas[-1 if re.search(r"[(){};=]", s) else s.count(",")] += 1
         if len(s) >= 8:
             templates[DIGITS.sub("0", s)] += 1

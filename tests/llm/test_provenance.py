@@ -1,10 +1,11 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
-from lodestrata.llm.provenance import COMPATIBLE, DIRECTORY_NAMES, LABELS, evidence, labelled_files, propagate
+from lodestrata.llm.provenance import COMPATIBLE, DIRECTORY_NAMES, LABELS, evidence, labelled_files, of_values, propagate
 
 CODE = "import json\n\ndef load_rows(path):\n    with open(path) as handle:\n        return json.load(handle)\n\ndef total(rows):\n    if not rows:\n        return 0\n    return sum(r['n'] for r in rows)\n"
 STUB = "class A(object):\n" + "".join(f"    def f{i}(self):\n        return self._f[{i}]\n" for i in range(20))
@@ -40,6 +41,28 @@ def test_notes_count_wherever_they_stand():
         assert label(CODE + licence + f"    # {remark}\n" + CODE) == 0, remark
 
 
+def test_long_lines_are_judged():
+    rows = [(i * 37 % 1009, f"name {i}") for i in range(1, 900)]
+    numbers = ", ".join(str(a) for a, _ in rows)
+    for text in (
+        numbers + "\n", f"D = [{numbers}]\n", "/* table */ " + numbers + "\n", "const D = [" + ", ".join(f'{{ "id": {a}, "name": "{b}" }}' for a, b in rows) + "];\n",
+        "INSERT INTO t (id, name) VALUES " + ", ".join(f"({a}, '{b}')" for a, b in rows) + ";\n", "D = [" + ", ".join(f"{{ id: {a}, name: '{b}' }}" for a, b in rows) + "]\n",
+    ):
+        phi = evidence("src/a.js", text)
+        assert max(range(5), key=lambda i: (phi[i], -i)) == 4, text[:60]
+    words = "This message tells the reader, at some length, what to do next. " * 60
+    for text in (CODE + f'TEXT = "{words}"\n', CODE + f'run("{words}", 1, 2, 3, "x")\n', CODE + "x = call(alpha, beta) + other(gamma, delta) * factor\n" * 2 + "y = " + " + ".join(f"alpha_{i} * beta" for i in range(300)) + "\n"):
+        phi = evidence("src/a.py", text)
+        assert max(range(5), key=lambda i: (phi[i], -i)) == 0, text[-60:]
+
+
+def test_long_lines_take_linear_time():
+    for line in ("a" * 400_000, '"\\' * 200_000, "1" * 400_000 + "x", "'\\'" * 130_000, " " * 400_000 + "x", "1.2e" * 100_000, "a b" * 130_000):
+        began = time.process_time()
+        of_values(line)
+        assert time.process_time() - began < 2, line[:10]
+
+
 def _brute(files):
     """Exact marginals of a small tree by enumeration."""
     dirs = {""}

@@ -115,18 +115,22 @@ class Rules:
             self.evidence[words] = vector
         self.items = {w for s in self.evidence for w in s}
         self.longest = max(map(len, self.evidence), default=0)
+        #: Every rule once, under its rarest word, with its place in the order of use: the most specific come first.
+        self.under: dict[str, list[tuple[int, frozenset]]] = defaultdict(list)
+        for place, words in enumerate(sorted(self.evidence, key=lambda f: (-len(f), sorted(f)))):
+            self.under[min(words, key=lambda w: (count.get(frozenset([w]), 0), w))].append((place, words))
 
     def score(self, words: list[str]) -> tuple[str, float] | None:
         """Most likely class of a sentence and its probability; None if no rule matches."""
-        hits = sorted({w for w in words if w in self.items})
+        hits = {w for w in words if w in self.items}
         if not hits:
             return None
-        if len(hits) > 24:
-            hits = sorted(hits, key=lambda w: (-max(self.evidence.get(frozenset([w]), {"": 0}).values()), w))[:24] if self.longest > 2 else hits
-        matched = [f for k in range(min(self.longest, len(hits)), 0, -1) for f in map(frozenset, combinations(hits, k)) if f in self.evidence]
+        matched = sorted((place, f) for w in hits for place, f in self.under.get(w, ()) if f <= hits)
+        if not matched:
+            return None
         used: set[str] = set()
         total = {c: 0.0 for c in self.classes}
-        for rule in matched:  # the most specific come first; what they cover counts once
+        for _, rule in matched:  # what the more specific ones cover counts once
             if rule <= used:
                 continue
             used |= rule

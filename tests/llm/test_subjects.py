@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -48,6 +49,20 @@ def test_redundant_rules_are_pruned():
     assert rules.score(["x", "z"])[0] == "a" and rules.score(["z"]) is None
 
 
+def test_rules_of_several_words_fire_in_long_sentences():
+    singles = [f"w{i:02}" for i in range(40)]
+    sets = [x for w in singles for x in (([w], 100), ([w, "class=b"], 45), ([w, "class=a"], 5))]
+    trio = ["k", "l", "m"]
+    sets += [x for w in trio for x in (([w], 400), ([w, "class=a"], 40))] + [(trio, 60), ([*trio, "class=a"], 60)]
+    rules = Rules(sets, {"a": 0.05, "b": 0.2, "c": 0.75}, 0.35, 3)
+    assert frozenset(trio) in rules.evidence and frozenset("k") not in rules.evidence
+    for n in (0, 1, 5, 20, 21, 22, 40):
+        total = {c: rules.evidence[frozenset(trio)][c] + sum(rules.evidence[frozenset([w])][c] for w in singles[:n]) for c in "abc"}
+        weight = {c: rules.prior[c] * math.exp(total[c]) for c in "abc"}
+        top, sure = rules.score([*trio, *singles[:n]])
+        assert top == max(total, key=total.get) and sure == pytest.approx(weight[top] / sum(weight.values()))
+
+
 def test_sentences():
     assert sentences(None) == [] and sentences(" ") == []
     assert sentences("# Heading\n\nOne two three. Four five six!\n- seven eight nine") == [["one", "two", "three"], ["four", "five", "six"], ["seven", "eight", "nine"]]

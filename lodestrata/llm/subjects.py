@@ -17,8 +17,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +74,7 @@ def sentences(text: str | None) -> list[list[str]]:
 def surely(part: int, n: int, z: float = 1.28) -> float:
     """Lower bound of a share (Wilson), so that a few chance finds make no rule."""
     p = part / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
 
 class Rules:
@@ -156,24 +156,116 @@ def _mine(found: DataFrame, classes: list[str], least: float, longest: int) -> R
     of_class = {r["c"]: r["n"] for r in found.select(F.explode("classes").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
     labelled = sum(of_class.values())
     prior = {c: (of_class.get(c, 0) + 1) / (labelled + len(classes)) for c in classes}
-    said = found.select("words", "classes").withColumn("w", F.explode(F.array_distinct("words")))
+    said = found.select("classes", F.explode(F.array_distinct("words")).alias("w"))
     tally = [F.count_if(F.array_contains("classes", c)).alias(f"c{i}") for i, c in enumerate(classes)]
-    counted = said.groupBy("w").agg(F.count("*").alias("n"), *tally).where(F.col("n") >= support)
-    telling = F.greatest(*(F.when(F.col(f"c{i}") / F.col("n") >= max(least, MIN_LIFT * prior[c]), 1).otherwise(0) for i, c in enumerate(classes)), F.lit(0))
-    vocabulary = counted.where(telling == 1).select("w")
-    kept = said.select("w", "sentence", "classes") if "sentence" in said.columns else found.select("sentence", "classes", F.explode(F.array_distinct("words")).alias("w"))
-    transactions = (
-        kept.join(vocabulary, "w").groupBy("sentence").agg(F.collect_set("w").alias("w"), F.first("classes").alias("classes"))
-        .select(F.concat("w", F.transform("classes", lambda c: F.concat(F.lit(CLASS), c))).alias("items"))
-    )
-    transactions = materialize(transactions)
-    n = transactions.count()
-    if n == 0:
-        return Rules([], prior, least, longest)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / n), minConfidence=1.0, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(transactions)
-    plain = F.size(F.filter("items", lambda i: ~i.startswith(CLASS)))
-    sets = model.freqItemsets.where((plain >= 1) & (plain <= longest) & (F.size("items") - plain <= 1))
-    return Rules([(list(r["items"]), r["freq"]) for r in sets.collect()], prior, least, longest)
+    counted = said.groupBy("w").agg(F.count("*").alias("n"), *tally).where(F.col("n") >= support).collect()
+    counted.sort(key=lambda r: (-r["n"], r["w"]))
+    vocabulary = [r["w"] for r in counted]
+    sets: list[tuple[list[str], int]] = []
+    for r in counted:
+        sets += _with_classes([r["w"]], r["n"], [r[f"c{i}"] for i in range(len(classes))], classes)
+    if longest > 1 and vocabulary:
+        alone = Rules(sets, prior, least, 1).evidence
+        for r in _grow(found, vocabulary, classes, prior, alone, least, longest, max(support, MIN_TOGETHER)).collect():
+            sets += _with_classes([vocabulary[i] for i in r["ids"]], r["n"], r["got"], classes)
+    return Rules(sets, prior, least, longest)
+
+
+def _with_classes(words: list[str], n: int, got: list[int], classes: list[str]) -> list[tuple[list[str], int]]:
+    return [(words, n), *(([*words, CLASS + c], k) for c, k in zip(classes, got, strict=True) if k)]
+
+
+def _grow(found: DataFrame, vocabulary: list[str], classes: list[str], prior: dict[str, float], alone: dict[frozenset, dict[str, float]], least: float, longest: int, support: int) -> DataFrame:
+    """(ids, n, got): frequent sets of two and, if ``longest`` is three, three words that may be rules.
+
+    Pattern growth over all words of ``vocabulary``, whose order is that of falling frequency: every word has its
+    conditional transactions, the more frequent words beside it, and its sets are counted in one task. Only after
+    counting, sets that ``Rules`` would drop for their confidence, lift or a single word that says the same are left out.
+    """
+    spark = found.sparkSession
+    number = {w: i for i, w in enumerate(vocabulary)}
+    place = {c: i for i, c in enumerate(classes)}
+    weights = np.array([prior[c] for c in classes])[:, None]
+    # The clearest class of the single-word rules and how clear it is; of equal ones the last, as in Rules.
+    clear = np.full(len(vocabulary), -1)
+    how = np.full(len(vocabulary), -np.inf)
+    for words, v in alone.items():
+        i = number[next(iter(words))]
+        clear[i], how[i] = max((x, place[c]) for c, x in v.items())[1], max(v.values())
+    shared = spark.sparkContext.broadcast((number, place, weights, clear, how))
+
+    def conditional(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, place = shared.value[:2]
+        columns = ["item", "beside", "said", "n"]
+        for b in stream:
+            seen: Counter[tuple[int, bytes, bytes]] = Counter()
+            held = 0
+            for words, own in zip(b["words"], b["classes"], strict=True):
+                ids = np.array(sorted({number[w] for w in words if w in number}), dtype=np.int32)
+                said = np.array(sorted({place[c] for c in own if c in place}), dtype=np.int32).tobytes()
+                for k in range(1, len(ids)):
+                    seen[int(ids[k]), ids[:k].tobytes(), said] += 1
+                    held += 4 * k
+                    if held > 32_000_000:
+                        yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=columns)
+                        seen.clear()
+                        held = 0
+            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=columns)
+
+    def promising(sets: np.ndarray, n: np.ndarray, got: np.ndarray) -> pd.DataFrame:
+        """``sets``: ids, one set a row; ``got``: counts by class and set."""
+        weights, clear, how = shared.value[2:]
+        vector = np.log((got + SMOOTHING * weights) / (n + SMOOTHING) / weights)
+        top = len(weights) - 1 - vector[::-1].argmax(axis=0)
+        at = np.arange(len(n))
+        value = vector[top, at]
+        keep = (value >= math.log(MIN_LIFT) - 1e-9) & (surely(got[top, at], n) >= least - 1e-9)
+        keep &= ~((clear[sets] == top[:, None]) & (how[sets] >= value[:, None] - 0.25 + 1e-9)).any(axis=1)
+        return pd.DataFrame({"ids": pd.Series(sets[keep].tolist(), dtype=object), "n": n[keep].astype("int64"), "got": pd.Series(got[:, keep].T.astype("int64").tolist(), dtype=object)})
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        item, classes_ = int(group["item"].iloc[0]), len(shared.value[1])
+        n = group["n"].to_numpy(dtype="float64")
+        flat = np.frombuffer(b"".join(group["beside"]), dtype=np.int32)
+        row = np.repeat(np.arange(len(n)), group["beside"].str.len().to_numpy() // 4)
+        spoken = np.zeros((len(n), classes_))
+        spoken[np.repeat(np.arange(len(n)), group["said"].str.len().to_numpy() // 4), np.frombuffer(b"".join(group["said"]), dtype=np.int32)] = 1.0
+        spoken *= n[:, None]
+        often = np.flatnonzero(np.bincount(flat, weights=n[row]) >= support)
+        if not len(often):
+            return promising(np.empty((0, 2), dtype=int), np.empty(0), np.empty((classes_, 0)))
+        column = np.full(flat.max() + 1, -1)
+        column[often] = np.arange(len(often))
+        inside = column[flat] >= 0
+        flat, row = column[flat[inside]], row[inside]
+        step = max(1, 4_000_000 // len(often))
+
+        def together(weight: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(often), len(often)))
+            used = np.flatnonzero(weight)
+            for start in range(0, len(used), step):
+                part = used[start : start + step]
+                at = np.full(len(n), -1)
+                at[part] = np.arange(len(part))
+                mine = at[row] >= 0
+                x = np.zeros((len(part), len(often)))
+                x[at[row[mine]], flat[mine]] = 1.0
+                total += x.T @ (x * weight[part, None])
+            return total
+
+        both = together(n)
+        first, second = np.nonzero(np.triu(both >= support, 1)) if longest > 2 else (np.empty(0, dtype=int), np.empty(0, dtype=int))
+        pairs, triples = [], []
+        for c in range(classes_):
+            of_class = together(spoken[:, c])
+            pairs.append(np.diag(of_class))
+            triples.append(of_class[first, second])
+        two = promising(np.column_stack([often, np.full(len(often), item)]), np.diag(both), np.array(pairs))
+        three = promising(np.column_stack([often[first], often[second], np.full(len(first), item)]), both[first, second], np.array(triples))
+        return pd.concat([two, three], ignore_index=True)
+
+    beside = found.select("words", "classes").mapInPandas(conditional, "item int, beside binary, said binary, n long")
+    return beside.groupBy("item").applyInPandas(count, "ids array<int>, n long, got array<long>")
 
 
 def _sentences_of(documents: DataFrame) -> DataFrame:
@@ -196,7 +288,7 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     per_doc = said.groupBy("doc_id").agg(F.array_sort(F.collect_set("c")).alias("classes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.where("text is not null").select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "classes", "text").distinct()
     found = materialize(_sentences_of(texts))
-    first = _mine(found, subjects, CONFIDENCE_BY_DOCUMENT, 1)
+    first = _mine(found, subjects, CONFIDENCE_BY_DOCUMENT, LONGEST)
     shared = spark.sparkContext.broadcast(first)
 
     def relabel(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,9 +1,11 @@
+import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 
-from lodestrata.llm.subjects import Rules, document_subjects, sentences, surely
+from lodestrata.llm.subjects import CLASS, Rules, _mine, document_subjects, sentences, surely
 
 TERMS = {
     "music": "violin tempo choir melody octave chord".split(), "law": "court plaintiff verdict clause appeal statute".split(), "sport": "league striker penalty referee medal sprint".split(),
@@ -63,6 +65,43 @@ def test_rules_of_several_words_fire_in_long_sentences():
         assert top == max(total, key=total.get) and sure == pytest.approx(weight[top] / sum(weight.values()))
 
 
+def test_mining_finds_words_that_are_telling_only_together(spark):
+    rng = random.Random(11)
+    classes = ["a", "b", "c", "d"]
+    # Each of x and y, and each two of p, q and r, are as frequent with every class; together they mean one.
+    rows = []
+    for i in range(1200):
+        c = classes[i % 4]
+        words = rng.sample([f"n{k}" for k in range(12)], rng.randint(2, 5)) + [f"{c}{rng.randint(0, 4)}"] * (i % 3 == 0)
+        u, v = rng.random() < 0.5, rng.random() < 0.5
+        words += ["x"] * u + ["y"] * v
+        if u and v:
+            c = "a"
+        if rng.random() < 0.3:
+            got = [w for w in "pqr" if rng.random() < 0.6]
+            words += got
+            c = "b" if len(got) == 3 else c
+        rows.append((str(i), words + words[:1], [c] if i % 50 else [c, classes[(i + 1) % 4]] if i % 100 else []))
+    found = spark.createDataFrame(rows, "sentence string, words array<string>, classes array<string>").repartition(3)
+    counts: Counter = Counter()
+    for _, words, own in rows:
+        for k in (1, 2, 3):
+            for w in itertools.combinations(sorted(set(words)), k):
+                counts[w] += 1
+                for c in own:
+                    counts[(*w, CLASS + c)] += 1
+    labelled = Counter(c for *_, own in rows for c in own)
+    prior = {c: (labelled[c] + 1) / (sum(labelled.values()) + 4) for c in classes}
+    least = 0.5
+    want = Rules([(list(w), n) for w, n in counts.items() if n >= 4 or w[-1].startswith(CLASS)], prior, least, 3)
+    got = _mine(found, classes, least, 3)
+    assert frozenset("xy") in got.evidence and frozenset("pqr") in got.evidence
+    assert frozenset("x") not in got.evidence and frozenset("y") not in got.evidence
+    assert set(got.evidence) == set(want.evidence)
+    for w, v in want.evidence.items():
+        assert got.evidence[w] == pytest.approx(v)
+
+
 def test_sentences():
     assert sentences(None) == [] and sentences(" ") == []
     assert sentences("# Heading\n\nOne two three. Four five six!\n- seven eight nine") == [["one", "two", "three"], ["four", "five", "six"], ["seven", "eight", "nine"]]

@@ -3,7 +3,8 @@
 Latent semantic retrieval: every document is cut into overlapping passages of words, a randomised SVD of their
 TF-IDF matrix is computed where the passages lie, and each sentence of each item is compared with every
 passage in the latent space. A sentence found near is then checked by its longest common subsequence with the words
-around; for an item with a confirmed sentence all its sentences are looked for in the whole document.
+around; for an item with a confirmed sentence all its sentences are looked for in the whole document. Parts of
+sentences count by their runs of words that no other item has, which are looked up in every document.
 
 What travels is bounded by parameters: document frequencies (vocabulary buckets), sketches (buckets times rank) and the
 items of one block. Statistics cover all passages; there is no cap on candidates.
@@ -33,6 +34,8 @@ RANK, OVERSAMPLE = 64, 8
 HALF = 12
 #: Latent cosine from which a passage is looked at, share of a sentence that must be in order, share of an item.
 NEAR, IN_ORDER, LEAKED = 0.7, 0.6, 0.5
+#: Words in a row from which a part of a sentence counts.
+RUN = 5
 ITEMS_PER_PASS = 5_000
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
@@ -62,6 +65,26 @@ def hashed(tokens: list[str]) -> list[int]:
     return out
 
 
+def runs(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of all ``RUN`` words in a row."""
+    n = max(0, len(tokens) - RUN + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def split(question: str | None) -> list[list[str]]:
+    """Words of every sentence of a question."""
+    return [w for s in _SENTENCE.split(question or "") if (w := words(s))]
+
+
+def units(question: str | None) -> list[str]:
+    """A question's sentences and runs, for finding those that items share."""
+    found = split(question)
+    return sorted({"s" + " ".join(w) for w in found} | {f"r{h}" for w in found for h in runs(np.array(hashed(w), np.uint32)).tolist()})
+
+
 def common(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence (bit-parallel)."""
     masks: dict[int, int] = {}
@@ -210,22 +233,52 @@ def latent_basis(tokens: DataFrame, rank: int = RANK, seed: int = 7) -> np.ndarr
 
 
 class Items:
-    """Sentences of one block of items; a sentence that several items share is a stock phrase."""
+    """Sentences of one block of items; a sentence that several items share is a stock phrase.
+
+    ``rows``: key, question, answer and those of its ``units`` that other items have as well.
+    """
 
     def __init__(self, rows: list[tuple]):
-        parts = {k: [w for s in _SENTENCE.split(q or "") if (w := words(s))] for k, q, _ in rows}
-        shared = Counter(tuple(s) for ss in parts.values() for s in {tuple(x) for x in ss})
+        parts = {k: (split(q), set(shared)) for k, q, _, shared in rows}
         self.keys, self.item, self.tokens, self.total, self.of = [], [], [], {}, defaultdict(list)
-        self.answers = {k: words(a or "") for k, _, a in rows}
-        for k, ss in parts.items():
-            own = [s for s in ss if shared[tuple(s)] == 1] or ss
+        self.answers = {k: words(a or "") for k, _, a, _ in rows}
+        #: Runs of every piece: hash and place of the first word; a run that crosses the end of a piece is in both.
+        self.runs: list[list[tuple[int, int]]] = []
+        owner: dict[int, object] = {}
+        for k, (ss, shared) in parts.items():
+            own = [s for s in ss if "s" + " ".join(s) not in shared] or ss
             self.total[k] = sum(map(len, own))
             for s in own:
+                mine = [(i, h) for i, h in enumerate(runs(np.array(hashed(s), np.uint32)).tolist()) if f"r{h}" not in shared]
+                owner.update((h, k) for _, h in mine)
                 for a in range(0, len(s), 40):
                     piece = s[a : a + 40]
                     self.of[k].append(len(self.item))
                     self.item.append(k)
                     self.tokens.append(hashed(piece))
+                    self.runs.append([(h, i - a) for i, h in mine if -RUN < i - a < len(piece)])
+        self.run_hashes = np.array(sorted(owner), np.uint64)
+        self.run_items = [owner[h] for h in self.run_hashes.tolist()]
+
+    def runs_in(self, flat: np.ndarray, lengths: np.ndarray) -> dict[int, dict[object, set[int]]]:
+        """Own runs of items by document and item."""
+        found: dict[int, dict[object, set[int]]] = defaultdict(lambda: defaultdict(set))
+        h = runs(flat)
+        if not len(h) or not len(self.run_hashes):
+            return found
+        at = np.minimum(np.searchsorted(self.run_hashes, h), len(self.run_hashes) - 1)
+        hits = np.flatnonzero(self.run_hashes[at] == h)
+        ends = np.cumsum(lengths)
+        docs = np.searchsorted(ends, hits, side="right")
+        for i, d, r in zip(hits.tolist(), docs.tolist(), at[hits].tolist(), strict=True):
+            if i + RUN <= ends[d]:
+                found[d][self.run_items[r]].add(int(self.run_hashes[r]))
+        return found
+
+    def in_runs(self, piece: int, seen: set[int]) -> int:
+        """Words of a piece that lie in the runs seen."""
+        n = len(self.tokens[piece])
+        return len({i + j for h, i in self.runs[piece] if h in seen for j in range(RUN) if 0 <= i + j < n})
 
     def latent(self, basis: np.ndarray) -> np.ndarray:
         out = np.stack([basis[np.array(t, np.int64) & (BUCKETS - 1)].sum(0) for t in self.tokens]) if self.tokens else np.zeros((0, basis.shape[1]), np.float32)
@@ -263,14 +316,25 @@ def leaked_items(documents: DataFrame, items: DataFrame, near: float = NEAR, lea
     """(item_id, doc_id, coverage, has_answer): documents that hold at least ``leaked`` of an item's own words.
 
     Sentences that several items share (instructions, stock phrases) count neither way, unless an item has no
-    others. Null and blank texts hold nothing, null and blank questions are in nothing. Repeated documents come
+    others; a sentence most of which is not there counts by its runs of ``RUN`` words or more that no other item has. Null and blank texts hold nothing, null and blank questions are in nothing. Repeated documents come
     out under each id, repeated rows once.
     """
     spark = documents.sparkSession
     ship_package(spark)
     key_type, item_type = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = T.StructType([T.StructField("item_id", item_type), T.StructField("doc_id", key_type), T.StructField("coverage", T.DoubleType()), T.StructField("has_answer", T.BooleanType())])
-    questions = items.where("question is not null").select("item_id", "question", "answer").distinct().orderBy("item_id", "question")
+    asked = items.where("question is not null").select("item_id", "question", "answer").distinct()
+
+    def in_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(units=[units(q) for q in b["question"]])
+
+    # What items share is counted over all of them, so that the blocks make no difference.
+    asked = materialize(asked.mapInPandas(in_units, T.StructType([*asked.schema, T.StructField("units", T.ArrayType(T.StringType()))])))
+    each = asked.select("item_id", "question", "answer", F.explode("units").alias("unit"))
+    several = each.select("item_id", "unit").distinct().groupBy("unit").count().where("count > 1").select("unit", F.lit(True).alias("several"))
+    shared = F.collect_set(F.when(F.col("several"), F.col("unit"))).alias("shared")
+    questions = each.join(several, "unit", "left").groupBy("item_id", "question", "answer").agg(shared).orderBy("item_id", "question")
     tokens = materialize(tokenized(documents))
     basis = latent_basis(tokens)
     out: DataFrame | None = None
@@ -306,11 +370,15 @@ def _one_pass(tokens: DataFrame, shared, schema: T.StructType, near: float, leak
             starts = np.concatenate([[0], np.cumsum(lengths)])
             keys = b.column("doc_key").to_pylist()
             rows = []
-            for d, sentences in candidates.items():
+            in_row = items.runs_in(flat, lengths)
+            for d in candidates.keys() | in_row.keys():
+                sentences, seen = candidates.get(d, {}), in_row.get(d, {})
                 doc = flat[starts[d] : starts[d + 1]].tolist()
                 confirmed = {items.item[s] for s, places in sentences.items() if _found_in(items.tokens[s], doc, [max(0, q - HALF) for q in places] + places)}
+                # Without a confirmed sentence, the runs alone must do.
+                confirmed |= {k for k, r in seen.items() if sum(items.in_runs(s, r) for s in items.of[k]) >= leaked * items.total[k]}
                 for k in confirmed:
-                    got = sum(_found_in(items.tokens[s], doc) for s in items.of[k])
+                    got = sum(max(_found_in(items.tokens[s], doc), items.in_runs(s, seen.get(k, set()))) for s in items.of[k])
                     share = got / items.total[k]
                     if share >= leaked:
                         answer = hashed(items.answers[k])

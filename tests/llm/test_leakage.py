@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from lodestrata.llm import leakage
 from lodestrata.llm.leakage import BUCKETS, HALF, Passages, common, hashed, leaked_items, words
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "lar nix tov sed pim rug wan zek".split()]
@@ -44,6 +45,33 @@ def test_matches_planted_cases(spark):
     assert leaked_items(dd, ii.limit(0)).count() == 0
 
 
+def test_parts_of_sentences_count(spark):
+    rng = random.Random(8)
+    one, first, second, other = (sentence(rng, n).split() for n in (30, 20, 30, 30))
+    stock = "please read the text below and answer with one word"
+    items = [(1, " ".join(one) + "."), (2, " ".join(first) + ". " + " ".join(second) + "."), (3, stock + " " + " ".join(other[:14]) + "."), (4, stock + " " + " ".join(other[14:28]) + ".")]
+    around = lambda w: sentence(rng, 40) + " " + " ".join(w) + " " + sentence(rng, 40)
+    docs = [(1, around(one[7:23])), (2, around(first) + around(second[:14])), (3, around(one[:5])), (4, around(one[i] for i in range(0, 30, 2))), (5, around([stock])), (6, around(first[:9]) + around(second[:9]))]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(k, q, "") for k, q in items], "item_id long, question string, answer string")
+    got = {(r.item_id, r.doc_id): r.coverage for r in leaked_items(dd, ii).collect()}
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1] >= 16 / 30 - 1e-6 and got[2, 2] >= 34 / 50 - 1e-6  # words around may fit by chance
+
+
+def test_blocks_of_items_make_no_difference(spark, monkeypatch):
+    rng = random.Random(9)
+    stock = sentence(rng, 20)
+    own = [sentence(rng, 16) for _ in range(4)]
+    ii = spark.createDataFrame([(k, f"{stock}. {q}.", "") for k, q in enumerate(own)], "item_id long, question string, answer string")
+    dd = spark.createDataFrame([(0, stock), (1, sentence(rng) + " " + own[1]), (2, sentence(rng) + " " + own[2] + ". " + stock)], "doc_id long, text string")
+    found = []
+    for block in (5_000, 1):
+        monkeypatch.setattr(leakage, "ITEMS_PER_PASS", block)
+        found.append({(r.item_id, r.doc_id, r.coverage) for r in leaked_items(dd, ii).collect()})
+    assert found[0] == found[1] == {(1, 1, 1.0), (2, 2, 1.0)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):

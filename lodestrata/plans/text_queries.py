@@ -83,8 +83,13 @@ def trigram_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def operation_names(spark: SparkSession, d: str) -> DataFrame:
-    """Operation ids, tags, routes and parameters of routes made from paths of source files."""
-    i = table(spark, d, "inventory_files").where("path rlike '^[a-z]+/[a-z0-9_/-]+[.][a-z]+$'").select("path").distinct()
+    """Operation ids, tags, routes and parameters of routes made from paths on which both dialects of SQL agree."""
+    return operation_names_all(spark, d).where("path rlike '^[a-z]+/[a-z0-9_/-]+[.][a-z]+$'")
+
+
+def operation_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """Operation ids, tags, routes and parameters of routes made from all paths of the inventories."""
+    i = table(spark, d, "inventory_files").where("path is not null").select("path").distinct()
     route = F.concat(F.lit("/api/"), F.regexp_replace("path", r"[a-z]+[_-]([a-z0-9]+)", ":$1"))
     r = i.select("path", route.alias("route"))
     return r.select("path", text.operation_id(F.lit("GET"), F.col("route")).alias("operation_id"), text.tag_of(F.col("route")).alias("tag"), text.normalise_route(F.col("route")).alias("normal"), F.size(text.path_params(text.normalise_route(F.col("route")))).alias("n_params"))
@@ -101,7 +106,7 @@ def status_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select((F.col("p_size") * 10 + 190).alias("code")).distinct().select("code", text.status_text(F.col("code")).alias("description"))
 
 
-QUERIES = {f.__name__: f for f in (pii_detect, pii_checksums, redact_text, correlation_hash, entropy_tokens, prompt_guard, line_metrics, inventory_classify, test_path_filter, inventory_hash_dups, stale_source, trigram_index, operation_names, service_roles, status_names)}
+QUERIES = {f.__name__: f for f in (pii_detect, pii_checksums, redact_text, correlation_hash, entropy_tokens, prompt_guard, line_metrics, inventory_classify, test_path_filter, inventory_hash_dups, stale_source, trigram_index, operation_names, operation_names_all, service_roles, status_names)}
 
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _DIGIT = lambda e, i: f"cast(substr({e}, {i}, 1) AS INT)"

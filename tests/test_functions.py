@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import checksums, sanitize, text
+from lodestrata.plans import text_queries
 
 
 def one(spark, column, **values):
@@ -59,3 +62,22 @@ def test_scalars(spark):
     assert one(spark, text.json_block(F.col("a")), a='sure: {"a": {"b": 1}} done') == '{"a": {"b": 1}}'
     assert one(spark, text.safe_uri(F.col("a")), a=" javascript:x") == "#blocked" and one(spark, text.escape_html(F.col("a")), a="<a&'>") == "&lt;a&amp;&#39;&gt;"
     assert one(spark, text.is_test_path(F.col("a")), a="src/tests/a.py") is True and one(spark, text.is_test_path(F.col("a")), a="src/a.py") is False
+
+
+def _operation(path):
+    route = "/api/" + re.sub(r"[a-z]+[_-]([a-z0-9]+)", r":\1", path)
+    parts = [p for p in route.split("/") if p]
+    capital = lambda p: p[:1].upper() + p[1:]
+    plain = lambda p: re.sub(r"[^a-zA-Z0-9]", "", p)
+    fixed = [p for p in parts if p[0] not in ":{"]
+    telling = [p for p in fixed if p.lower() not in ("api", "v1", "v2", "v3", "rest")]
+    normal = re.sub(r":([a-zA-Z0-9_]+)", r"{\1}", route)
+    named = "".join("By" + capital(plain(p)) if p[0] in ":{" else capital(plain(p)) for p in parts)
+    return ("get" + named)[:120], (telling or fixed)[0], normal, len(set(re.findall(r"\{(\w+)\}", normal, re.A)))
+
+
+def test_operations_of_all_paths(spark, tmp_path):
+    paths = ["src/user_id/list.py", "Makefile", "src/UserList.test.ts", "docs/Über-uns.md", "v1/REST", "a//b.py", "src\\win.cs", "x/{id}/:id/é_b.c", "d/" + "long-name/" * 30 + "x.d.ts", ".env", "", "日本/語.py"]
+    spark.createDataFrame([(p,) for p in [*paths, None, "Makefile"]], "path string").write.parquet(f"{tmp_path}/inventory_files.parquet")
+    got = [tuple(r) for r in text_queries.QUERIES["operation_names_all"](spark, str(tmp_path)).select("path", "operation_id", "tag", "normal", "n_params").collect()]
+    assert sorted(got) == sorted((p, *_operation(p)) for p in paths)

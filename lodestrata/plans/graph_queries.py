@@ -124,6 +124,15 @@ def bfs_distances(spark: SparkSession, d: str) -> DataFrame:
     return graph.distances(e, n.where("src = 0").select(F.col("src").alias("node")), 4).select("node", "distance")
 
 
+def bfs_supply(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers, parts and orders within four steps of the first supplier, along the line items in either direction."""
+    item = table(spark, d, "lineitem").select(*(F.concat(F.lit(k[2]), F.col(k).cast("string")).alias(k) for k in ("l_suppkey", "l_partkey", "l_orderkey")))
+    pairs = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for x, y in (("l_suppkey", "l_partkey"), ("l_partkey", "l_orderkey")) for a, b in ((x, y), (y, x))))
+    e = item.select(F.explode(pairs).alias("e")).select("e.*")
+    first = item.select(F.lit("s1").alias("node")).limit(1)
+    return graph.distances(e, first, 4).select("node", "distance")
+
+
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
     return graph.adjacency(e).select("src", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
@@ -263,6 +272,10 @@ ORACLES = {
     "degree_topk": f"{_TOP} SELECT node, degree FROM n",
     "pruned_graph": f"{_TOP} SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)",
     "bfs_distances": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, unnest([(n_nationkey + 3) % 25, (n_nationkey + 7) % 25]) AS dst FROM nation), w(node, distance) AS (SELECT dst, 1 FROM e WHERE src = 0 UNION SELECT e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.node WHERE w.distance < 4) SELECT node, min(distance) AS distance FROM w GROUP BY node",
+    "bfs_supply": """WITH RECURSIVE i AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, 'o' || l_orderkey AS o FROM lineitem),
+  e AS (SELECT s AS src, p AS dst FROM i UNION SELECT p, s FROM i UNION SELECT p, o FROM i UNION SELECT o, p FROM i),
+  w(node, distance) AS (SELECT dst, 1 FROM e WHERE src = 's1' UNION SELECT e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.node WHERE w.distance < 4)
+SELECT node, min(distance) AS distance FROM w GROUP BY node""",
     "adjacency": "SELECT n_regionkey AS src, array_to_string(list_sort(list(DISTINCT n_nationkey)), ',') AS neighbours FROM nation GROUP BY n_regionkey",
     "mermaid_diagram": """WITH l AS (SELECT 0 AS part, 'R' || lpad(cast(r_regionkey AS VARCHAR), 2, '0') AS a, '' AS b, r_name AS t FROM region UNION ALL SELECT 0, 'N' || lpad(cast(n_nationkey AS VARCHAR), 2, '0'), '', n_name FROM nation
   UNION ALL SELECT 1, 'R' || lpad(cast(n_regionkey AS VARCHAR), 2, '0'), 'N' || lpad(cast(n_nationkey AS VARCHAR), 2, '0'), NULL FROM nation)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import contracts, generations, graph, infra, parsing, report, resolve
+from lodestrata.plans import graph_queries
 from lodestrata.sources import inventory as inv
 from lodestrata.streaming import inventory_stream
 
@@ -238,3 +239,20 @@ def test_masking(spark):
     assert masking.message("hi", "de", name="X") == "Hallo X" and masking.message("hi", "fr") == "hi"
     df = spark.createDataFrame([("/r/a.py",), ("/home/me/b",), ("/etc/x",), (None,)], "p string")
     assert [r[0] for r in df.select(masking.scrub_host_path(F.col("p"), "/r/")).collect()] == ["a.py", "[USER_HOME]/b", "/etc/x", None]
+
+
+def test_distances_over_line_items(spark, tmp_path):
+    rng = random.Random(6)
+    items = [(rng.randint(1, 6), rng.randint(1, 60), rng.randint(1, 90)) for _ in range(150)]
+    spark.createDataFrame([*items, *items[:9], (1, None, 5)], "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = defaultdict(set)
+    for s, p, o in items:
+        for a, b in ((f"s{s}", f"p{p}"), (f"p{p}", f"o{o}")):
+            near[a].add(b)
+            near[b].add(a)
+    want, level = {}, {"s1"}
+    for step in range(1, 5):
+        level = {b for a in level for b in near[a]} - want.keys()
+        want |= dict.fromkeys(level, step)
+    got = {r.node: r.distance for r in graph_queries.QUERIES["bfs_supply"](spark, str(tmp_path)).collect()}
+    assert got == want and len(set(want.values())) == 4

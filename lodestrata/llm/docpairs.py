@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
-All callables of all files form one symbol table, keyed by qualified name and normalised signature.
-A definition without a describing comment takes that of its separate declaration (header, prototype,
-stub, interface), if exactly one such declaration with the same key describes it. What a comment says is
-judged after markup, rulers, tags, directives, notices, code and restated names are taken away.
+All callables of all files form one symbol table, keyed by repository, module, qualified name and normalised
+signature, so that overloads keep apart. Every row is joined with the documented separate declaration (header,
+prototype, stub, interface) of its key and with its own comment; only then are the comments judged, after markup,
+rulers, tags, directives, notices, code and restated names are taken away, and pairs without a description dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 
 from lodestrata.runtime import materialize, ship_package
 
+#: Directories that run in parallel for declarations and definitions, and extensions of declarations.
+PARALLEL = r"(?:^|/)(?:include|inc|headers?|src|source|sources|lib|impl|stubs|typings|types)(?=/|$)"
+DECLARING = r"\.(?:h|hh|hpp|hxx|pyi|d\.ts|mli|rbi)::"
+
 TYPE_DECLARATION = r"(?i)^\s*(?:@\S+\s+|\[[^\]]*\]\s*)*(?:(?:export|default|public|private|protected|internal|abstract|final|sealed|static|partial|pub|unsafe|readonly|data|open|inner|declare|const|ref)(?:\([^)]*\))?\s+)*(?:class|struct|interface|enum|trait|type|typedef|union|record|module|namespace|impl|protocol|extension)\b(?!\s*[(:=])"
 CALLABLE_KIND = r"(?i)^\s*(?:.*_)?(?:func|function|fn|def|method|procedure|proc|sub|subroutine|constructor|ctor|lambda|getter|setter|operator)\s*$"
 TYPE_KIND = r"(?i)^\s*(?:class|struct|interface|enum|trait|type|typedef|union|record|module|namespace|object|protocol)\s*$"
@@ -153,36 +157,78 @@ def normalised_signature(signature: Column) -> Column:
     return F.regexp_replace(s, r"\s+|;\s*$|\{\s*$", "")
 
 
-def documented_pairs(symbols: DataFrame) -> DataFrame:
+def keyed(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The symbol table: callables with the parts of their key.
+
+    ``separate`` marks declarations that are no definitions. ``files`` (file_id, repo) tells the repository of a symbol; without
+    it all symbols are of one.
+    """
+    own = symbols.where(callable_row(F.col("kind"), F.col("signature_clean")))
+    if files is not None:
+        of = files.where("file_id is not null").groupBy("file_id").agg(F.min("repo").alias("in_repo"))
+        own = own.select("symbol_id", "file_id", "fqsn", "name", "signature_clean", "docstring_clean").join(of, "file_id", "left")
+    else:
+        own = own.select("symbol_id", "fqsn", "name", "signature_clean", "docstring_clean").withColumn("in_repo", F.lit(None).cast("string"))
+    path = F.regexp_extract("fqsn", r"^(.*?)::", 1)
+    return own.select(
+        "symbol_id", "fqsn", "name", F.col("signature_clean").alias("signature"), F.col("docstring_clean").alias("own_doc"),
+        F.coalesce("in_repo", F.lit("")).alias("in_repo"),
+        F.regexp_replace(F.regexp_replace(path, r"/?[^/]*$", ""), PARALLEL, "").alias("module"),
+        F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?:\.d)?\.[A-Za-z+]+$", "").alias("stem"),
+        F.regexp_replace(F.regexp_replace("fqsn", r"::<signature:[0-9a-f]+>$", ""), r"^.*?::", "").alias("qualified"),
+        normalised_signature(F.col("signature_clean")).alias("normal"),
+        (F.col("signature_clean").rlike(r";\s*$") | F.coalesce(F.col("fqsn").rlike(DECLARING), F.lit(False))).alias("separate"),
+    )
+
+
+def joined_pairs(table: DataFrame) -> DataFrame:
+    """Every callable with its own comment and that of its declaration, before anything is judged.
+
+    A declaration is looked for in the module (directories of headers and sources are the same), else in the
+    repository if all of that name and signature say the same. There is one row per key on that side, the
+    longest of differing comments, so the join cannot grow however many rows share a key.
+    """
+    said = F.struct(F.col("own_doc").alias("doc"), F.col("symbol_id").alias("id"))
+    documented = materialize(table.where(F.col("separate") & (F.trim(F.coalesce("own_doc", F.lit(""))) != "")))
+    order = F.struct(F.length("own_doc"), F.col("own_doc"), F.col("symbol_id"))
+    near_key, far_key = ["in_repo", "module", "stem", "qualified", "normal"], ["in_repo", "stem", "qualified", "normal"]
+    near = documented.groupBy(*near_key).agg(F.max_by(said, order).alias("near"))
+    far = documented.groupBy(*far_key).agg(F.max_by(said, order).alias("far"), F.min("own_doc").alias("least"), F.max("own_doc").alias("most")).where("least = most").drop("least", "most")
+    both = table.join(near, near_key, "left").join(far, far_key, "left")
+    found = F.when(~F.col("separate"), F.coalesce("near", "far"))
+    return both.select("symbol_id", "fqsn", "name", "signature", "own_doc", found["doc"].alias("declared_doc"), found["id"].alias("declared_id"))
+
+
+def documented_pairs(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(symbol_id, fqsn, signature, documentation, doc_symbol_id) of every described function or method.
 
-    ``doc_symbol_id`` differs from ``symbol_id`` where the documentation is that of a separate
-    declaration. Rows without signature, and types, give no pair. Repeated and re-extracted rows of a
-    symbol give one pair; of differing texts of one symbol the smallest described one is taken. The
-    join cannot multiply rows: there is at most one declaration per key, and none if several differ.
+    ``doc_symbol_id`` is the row whose comment it is: the symbol itself, or its separate declaration where the
+    own comment describes nothing. Rows without signature, and types, give no pair. Repeated and re-extracted rows of a
+    symbol give one pair; of differing texts of one symbol an own one, then the smallest, is taken.
     """
-    spark = symbols.sparkSession
-    ship_package(spark)
-    own = symbols.select("symbol_id", "fqsn", "name", "kind", "signature_clean", "docstring_clean").where(callable_row(F.col("kind"), F.col("signature_clean"))).drop("kind")
-    qualified = F.regexp_replace(F.regexp_replace(F.col("fqsn"), r"::<signature:[0-9a-f]+>$", ""), r"^.*?::", "")
-    stem = F.regexp_replace(F.regexp_extract("fqsn", r"([^/\\:]+?)(?:::|$)", 1), r"\.[A-Za-z+]+$", "")
-    schema = T.StructType([*own.schema.fields, T.StructField("documentation", T.StringType())])
+    ship_package(symbols.sparkSession)
+    joined = joined_pairs(keyed(symbols, files))
+    key = joined.schema["symbol_id"].dataType
+    schema = T.StructType([T.StructField("symbol_id", key), T.StructField("fqsn", T.StringType()), T.StructField("signature", T.StringType()), T.StructField("documentation", T.StringType()), T.StructField("doc_symbol_id", key)])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["documentation"] = [described(d, n) for d, n in zip(b["docstring_clean"], b["name"], strict=True)]
-            yield b
-
-    judged = own.mapInPandas(judge, schema).drop("docstring_clean", "name").withColumns({"qualified": qualified, "stem": stem, "normal": normalised_signature(F.col("signature_clean"))})
-    one = judged.groupBy("symbol_id").agg(F.min_by(F.struct("fqsn", "signature_clean", "documentation", "qualified", "stem", "normal"), F.struct(F.col("documentation").isNull(), "documentation", "signature_clean")).alias("s")).select("symbol_id", "s.*")
-    one = materialize(one)  # read three times below
-    described_own = one.where("documentation is not null").select("symbol_id", "fqsn", F.col("signature_clean").alias("signature"), "documentation", F.col("symbol_id").alias("doc_symbol_id"))
-    separate = F.col("signature_clean").rlike(r";\s*$") | F.col("fqsn").rlike(r"\.(?:h|hh|hpp|hxx|pyi|d\.ts|mli|rbi)::")
-    declared = (
-        one.where(F.col("documentation").isNotNull() & separate)
-        .groupBy("stem", "qualified", "normal")
-        .agg(F.min("documentation").alias("documentation"), F.max("documentation").alias("other"), F.min("symbol_id").alias("doc_symbol_id"))
-        .where("documentation = other").drop("other")
-    )
-    taken = one.where(F.col("documentation").isNull() & ~separate).drop("documentation").join(declared, ["stem", "qualified", "normal"])
-    return described_own.unionByName(taken.select("symbol_id", "fqsn", F.col("signature_clean").alias("signature"), "documentation", "doc_symbol_id"))
+            known: dict[tuple, str | None] = {}
+
+            def says(text: str | None, name: str | None) -> str | None:
+                at = (text, name)
+                if at not in known:
+                    known[at] = described(text, name)
+                return known[at]
+
+            rows = []
+            for k, fqsn, name, signature, own, declared, by in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
+                if text := says(own, name):
+                    rows.append((k, fqsn, signature, text, k))
+                elif text := says(declared, name):
+                    rows.append((k, fqsn, signature, text, by))
+            yield pd.DataFrame(rows, columns=schema.names, dtype=object)
+
+    judged = joined.mapInPandas(judge, schema)
+    first = F.struct(~F.col("doc_symbol_id").eqNullSafe(F.col("symbol_id")), "documentation", "signature", "fqsn")
+    return judged.groupBy("symbol_id").agg(F.min_by(F.struct("fqsn", "signature", "documentation", "doc_symbol_id"), first).alias("s")).select("symbol_id", "s.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm import docpairs, leakage, packing, provenance, secrets, subjects, syntax
 from lodestrata.runtime import table
@@ -44,13 +45,13 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions and methods whose own comment describes them."""
-    return p5_pairs(spark, sf_dir).where("doc_symbol_id = symbol_id").select("symbol_id")
+    """Functions and methods whose comment describes a function: the documenting side of the pairs, themselves or a definition."""
+    return p5_pairs(spark, sf_dir).select(F.col("doc_symbol_id").alias("symbol_id")).distinct()
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and description of every documented function, declarations joined to definitions."""
-    return docpairs.documented_pairs(table(spark, sf_dir, "symbols"))
+    return docpairs.documented_pairs(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files").select("file_id", "repo"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,36 @@ def test_pairs(spark):
     assert documented_pairs(df.limit(0)).count() == 0
 
 
-def test_ambiguous_declarations_give_no_pair(spark):
-    rows = [(1, "a/m.h::r", "r", "fn", "int r();", "Reads one block of rows."), (2, "b/m.h::r", "r", "fn", "int r();", "Writes another block."), (3, "m.c::r", "r", "fn", "int r() {", None)]
-    df = spark.createDataFrame(rows, "symbol_id long, fqsn string, name string, kind string, signature_clean string, docstring_clean string")
-    assert {r.symbol_id for r in documented_pairs(df).collect()} == {1, 2}
+COLUMNS = "symbol_id long, file_id long, fqsn string, name string, kind string, signature_clean string, docstring_clean string"
+
+
+def test_declarations_of_other_modules_do_not_describe(spark):
+    rows = [(1, 1, "a/m.h::r", "r", "fn", "int r();", "Reads one block of rows."), (2, 2, "b/m.h::r", "r", "fn", "int r();", "Writes another block."), (3, 3, "m.c::r", "r", "fn", "int r() {", None), (4, 4, "b/src/m.c::r", "r", "fn", "int r() {", "TODO")]
+    got = {(r.symbol_id, r.doc_symbol_id) for r in documented_pairs(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {(1, 1), (2, 2), (4, 2)}
+
+
+def test_overloads_repositories_and_what_the_join_adds(spark):
+    """Planted header and definition pairs: each overload takes the text of its own signature and repository."""
+    n = 300
+    rows, of = [], []
+    for i in range(n):
+        repo = f"r{i % 3}"
+        for j, kind in enumerate(("int a", "char *b")):
+            header, body = 4 * i + 2 * j, 4 * i + 2 * j + 1
+            rows += [
+                (header, header, f"include/m{i // 3}.h::Box::run", "run", "method", f"extern int run({kind});", f"Sends block {kind} of parcel {i} to the printer."),
+                (body, body, f"src/m{i // 3}.c::Box::run", "run", "method", f"int run({kind})\n{{", [None, "TODO: document", "****"][i % 3]),
+            ]
+            of += [(header, repo), (body, repo)]
+    files = spark.createDataFrame(of, "file_id long, repo string")
+    symbols = spark.createDataFrame(rows, COLUMNS)
+    got = {r.symbol_id: (r.doc_symbol_id, r.documentation) for r in documented_pairs(symbols, files).collect()}
+    assert len(got) == 4 * n
+    for i in range(n):
+        for j in range(2):
+            header, body = 4 * i + 2 * j, 4 * i + 2 * j + 1
+            assert got[body][0] == header and f"parcel {i} " in got[body][1] and ("char" in got[body][1]) == bool(j)
+    # Without the join, or with no declarations to join, the definitions are lost.
+    without = {r.symbol_id for r in documented_pairs(symbols.where("fqsn like 'src/%'"), files).collect()}
+    assert without == set()

@@ -1,9 +1,10 @@
 """Credentials in source code: found by unnatural strings and context, masked in place.
 
-A string is unnatural when it has few characters per subword under a public vocabulary. Whether it is a
-usable secret is decided together with its context: the name it is assigned to, a URI, a header, a
-command, a sentence, the shape of a known kind of token. The secret's characters are replaced one by
-one, so offsets, quotes and the code around stay as they are.
+Every string that context makes a candidate is measured: how unnatural its characters per subword are under a public
+vocabulary (``naturalness``). The measure, the weight of the context (the name it is assigned to, a URI, a header, a
+command, a sentence, the form of an issued token, nothing at all) and the form of the value add up; a positive sum is a
+secret. Strong contexts find passwords made of words, weak ones only what no words make up. The secret's characters
+are replaced one by one, so offsets, quotes and the code around stay as they are.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm import vocab
+from lodestrata.llm import naturalness, vocab
 from lodestrata.runtime import ship_package
 
 MASK = "*"
-#: Characters per subword below which a string is unnatural. Words have 3 to 8, random strings 1.2 to 2.4.
-UNNATURAL = 2.6
+#: Weights of contexts, in the units of the measure (within -4 and 4). Only the place of a password and the fixed form of an issued token outweigh it.
+CONTEXT = {"uri": 4.5, "command": 4.5, "basic": 4.5, "issued": 4.5, "password": 2.0, "secret": 1.5, "prose": 1.5, "header": 0.0, "signed": 0.0, "general": 0.0, "weak": 0.0, "none": -2.0}
+#: What a digit or sign within a password, or three words and more as a passphrase, add.
+MIXED, PASSPHRASE = 3.0, 3.0
 
 # Shapes of issued tokens, in any surrounding.
 ISSUED = re.compile(
@@ -92,10 +95,19 @@ REFERENCE = re.compile(
     r"^\$|^\$\{|^%[A-Za-z_]+%$|^\{+[^{}]*\}+$|^<[^<>]*>|^\[|^(?:env|vault|ssm|secretsmanager|kms|arn|file|op|keyring|aws-sm|gcp-sm|sops|ref|secret|bao)[:/]|^(?:process\.env|os\.environ|os\.getenv|getenv|ENV|System\.getenv|std::env|env|config|settings|vault|secrets|self|this|request|args|opts?|params)\b[.\[(:]"
     r"|^@|^\$\(|^#\{|^\*+$|^%s$|^%\(|^\{\{"
 )
-PLACEHOLDER_WORDS = re.compile(
-    r"redacted|placeholder|change[-_ ]?me|replace[-_ ]?(?:me|this)|your[-_ ]|example|(?<![A-Za-z0-9])(?:dummy|todo|fixme|tbd)(?![A-Za-z0-9])|(?<![A-Za-z])insert[-_ ]|sample|masked|hidden|removed|goes[-_ ]here|from the|team vault|undefined|not[-_ ]?set|xxxx|(?<![A-Za-z])(?:put|enter)[-_ ]|fill[-_ ]?in|secret[-_ ]here|token[-_ ]here|<|>|^(?:password|passwd|secret|token|null|none|nil|true|false|string|str|unknown|empty|n/?a|bearer|basic|primary|oauth2?|default|optional|required|user_password|kennwort|contraseña|apikey|api[-_]key)$",
-    re.I,
-)
+#: Words that stand for a secret not given, and words for the thing itself, of which stand-ins consist.
+STAND_IN = frozenset({
+    "redacted", "placeholder", "change", "changeme", "replace", "replaceme", "your", "example", "dummy", "todo", "fixme", "tbd", "insert", "sample", "masked", "hidden", "removed", "goes", "here",
+    "undefined", "unset", "put", "enter", "fill", "null", "none", "nil", "true", "false", "unknown", "empty", "default", "optional", "required", "vault", "xxxx", "xxx",
+})
+THING = frozenset({
+    "password", "passwd", "pass", "pwd", "secret", "token", "key", "api", "apikey", "access", "auth", "user", "username", "db", "database", "kennwort", "contraseña", "credential", "credentials", "bearer", "basic",
+    "primary", "oauth", "oauth2", "string", "str", "value", "the", "from", "team", "me", "this", "not", "set", "in", "my", "a", "an", "to", "na", "of", "name", "real",
+})
+#: A documented example ends in the word itself.
+EXAMPLE = re.compile(r"EXAMPLE(?:KEY)?\Z")
+_PARTS = re.compile(r"[A-Za-zÀ-ÿ]+|\d+")
+_HUMPS = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 HEX = re.compile(r"^[0-9a-fA-F]+$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 
@@ -106,49 +118,72 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def is_placeholder(value: str) -> bool:
-    """Empty, masked, redacted, a reference to somewhere else, or a word that stands for a secret."""
+def is_placeholder(value: str, vocabulary: str) -> bool:
+    """Empty, masked, a reference to somewhere else, or words that stand for a secret and nothing besides."""
     v = value.strip()
-    if len(v) < 4 or REFERENCE.search(v) or PLACEHOLDER_WORDS.search(v):
+    if len(v) < 4 or REFERENCE.search(v) or EXAMPLE.search(v) or "<" in v or ">" in v:
         return True
     body = re.sub(r"[^A-Za-z0-9]", "", v)
     if len(body) < 3 or len(set(body)) <= 2:
         return True
     tail = re.sub(r"^(?:AKIA|ASIA|AIza|gh[opsur]_|glpat-|npm_|sk_(?:live|test)_|xox[a-z]-|sk-)", "", v)
-    return bool(tail) and len(set(re.sub(r"[-_.]", "", tail).lower())) <= 2
+    if tail and len(set(re.sub(r"[-_.]", "", tail).lower())) <= 2:
+        return True
+    low = v.lower()
+    if low in THING or low in STAND_IN:
+        return True
+    words = [w.lower() for w in _PARTS.findall(_HUMPS.sub("-", v))]
+    stands = [w for w in words if w in STAND_IN]
+    rest = [w for w in words if w not in STAND_IN and w not in THING]
+    if not rest:
+        return not any(w.isdigit() for w in words) and not re.search(r"[!?#%&*@$]", v)
+    if not stands:
+        return False
+    # What is left beside the stand-in must be words too: a key that contains "removed" is a key.
+    return not re.search(r"\d", v) and max(naturalness.unnatural(w, vocabulary) for w in rest) <= 0
 
 
-def _natural(value: str, vocabulary: str) -> bool:
-    """Words make it up. By chance a random string has many known subwords; a long mixed one is none of words."""
-    if len(value) >= 24 and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value) and entropy(value) >= 4:
-        return False
-    return vocab.chars_per_subword(value, vocabulary) >= UNNATURAL
+def weigh(value: str, context: str, vocabulary: str) -> float:
+    """Sum of the measure, the context's weight and the form of the value; a secret where positive."""
+    total = naturalness.unnatural(value, vocabulary) + CONTEXT[context]
+    if context in ("password", "secret", "prose"):
+        if re.search(r"\d|[!?#%&*@$^+=~]", value):
+            total += MIXED
+        elif context == "password" and len(value) >= 16 and re.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+){2,}", value):
+            total += PASSPHRASE
+    return total
 
 
-def is_secret(name: str, value: str, vocabulary: str) -> bool:
-    """Whether ``value`` given to ``name`` is a usable secret."""
-    v = value.strip()
-    if is_placeholder(v):
-        return False
+def context_of(name: str) -> str | None:
+    """What a name says of the value given to it."""
     low = re.sub(r"^[$&@]+", "", name).strip("-_.").lower()
     low = low.rsplit(".", 1)[-1].replace("-", "_")
     snake = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.strip("$")).lower().replace("-", "_")
     if NOT_SECRET_NAME.search(low) or NOT_SECRET_NAME.search(snake):
+        return None
+    for context, pattern in (("password", PASSWORD_NAME), ("secret", SECRET_NAME)):
+        if pattern.search(low) or pattern.search(snake):
+            return context
+    return "weak" if WEAK_NAME.search(low) else None
+
+
+def is_secret(name: str, value: str, vocabulary: str) -> bool:
+    """Whether ``value`` given to ``name`` is a usable secret."""
+    v, context = value.strip(), context_of(name)
+    if context is None or is_placeholder(v, vocabulary) or re.search(r"\(\)?$", v):
         return False
-    if UUID.match(v) and not SECRET_NAME.search(snake):
+    if UUID.match(v) and context != "secret":
         return False
-    if re.search(r"\s", v):
-        return bool(PASSWORD_NAME.search(snake)) and not _natural(v, vocabulary)
-    if PASSWORD_NAME.search(low) or PASSWORD_NAME.search(snake):
-        # A path or a dotted reference is where a password lies, not what it is.
-        return not re.fullmatch(r"[a-z_]+(?:[/.:][a-z_-]+)+", v) and not re.fullmatch(r"[a-z]+_[a-z_]+", v) and not re.search(r"\(\)?$", v)
-    if SECRET_NAME.search(low) or SECRET_NAME.search(snake):
-        if re.fullmatch(r"[a-z_-]+(?:[/.:][a-z_-]+)*", v) or re.search(r"[()\[\]]", v):
+    if context != "password" and (re.search(r"\s", v) or re.fullmatch(r"[a-z_-]+(?:[/.:][a-z_-]+)*", v) or re.search(r"[()\[\]]", v)):
+        return False
+    if context == "password" and re.search(r"\s", v):
+        context = "weak"
+    elif context == "weak":
+        # Hexadecimal digits are digests and ids, unless an environment variable that is a key has 128 bits of them.
+        if len(v) < 16 or (HEX.match(v) and not (name.isupper() and len(v) >= 32)):
             return False
-        return bool(re.search(r"\d", v)) or not _natural(v, vocabulary)
-    if WEAK_NAME.search(low):
-        return len(v) >= 16 and not re.fullmatch(r"[a-z_-]+(?:[/.:][a-z_-]+)*", v) and not _natural(v, vocabulary) and (not HEX.match(v) or (name.isupper() and len(v) >= 32))
-    return False
+        context = "secret" if HEX.match(v) else context
+    return weigh(v, context, vocabulary) > 0
 
 
 def is_opaque(value: str, vocabulary: str) -> bool:
@@ -156,7 +191,7 @@ def is_opaque(value: str, vocabulary: str) -> bool:
     if len(value) < 24 or not re.fullmatch(r"[A-Za-z0-9+/=_-]+", value) or HEX.match(value) or UUID.match(value):
         return False
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return classes == 3 and entropy(value) >= 3.7 and vocab.chars_per_subword(value, vocabulary) < 2.2 and not is_placeholder(value)
+    return classes == 3 and weigh(value, "none", vocabulary) > 0 and entropy(value) >= 3.7 and not is_placeholder(value, vocabulary)
 
 
 def _decoded(value: str) -> str | None:
@@ -171,11 +206,13 @@ def _decoded(value: str) -> str | None:
     return None
 
 
-def _basic(value: str) -> bool:
+def _usable(value: str, context: str, vocabulary: str) -> bool:
+    return not is_placeholder(value, vocabulary) and weigh(value, context, vocabulary) > 0
+
+
+def _basic(value: str, vocabulary: str) -> bool:
     text = _decoded(value)
-    if not text or ":" not in text:
-        return False
-    return not is_placeholder(text.split(":", 1)[1])
+    return bool(text) and ":" in text and _usable(text.split(":", 1)[1], "basic", vocabulary)
 
 
 def _first(m: re.Match, groups: tuple[int, ...]) -> int:
@@ -192,31 +229,32 @@ def _scan(text: str, vocabulary: str, signature: bool, depth: int = 0) -> Iterat
         if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 16 and not re.search(r"redacted|\.\.\.|<", body, re.I) and len(set(body)) > 4:
             yield m.start(2), m.end(2), "private_key"
     for m in ISSUED.finditer(text):
-        if inside(m.start()) or is_placeholder(m[0]):
+        if inside(m.start()):
             continue
-        # A known prefix is enough; the general shape must be a string that no words make up.
-        if not GENERAL.match(m[0]) or (re.search(r"\d", m[0]) and not _natural(m[0], vocabulary)):
+        # The general shape must be a string that no words make up; a known prefix says more.
+        general = bool(GENERAL.match(m[0]))
+        if (not general or re.search(r"\d", m[0])) and _usable(m[0], "general" if general else "issued", vocabulary):
             yield *m.span(), "token"
     for m in URI.finditer(text):
-        if not is_placeholder(unquote(m[2])):
+        if _usable(unquote(m[2]), "uri", vocabulary):
             yield *m.span(2), "uri"
     for m in BASIC.finditer(text):
-        if _basic(m[1]):
+        if _basic(m[1], vocabulary):
             yield *m.span(1), "header"
     for m in BEARER.finditer(text):
-        if not inside(m.start(1)) and not is_placeholder(m[1]) and (re.search(r"\d", m[1]) or not _natural(m[1], vocabulary)) and not _natural(m[1], vocabulary):
+        if not inside(m.start(1)) and _usable(m[1], "header", vocabulary):
             yield *m.span(1), "header"
     for m in SIGNED.finditer(text):
-        if not is_placeholder(m[1]) and not _natural(m[1], vocabulary):
+        if _usable(m[1], "signed", vocabulary):
             yield *m.span(1), "signed_link"
     for pattern in COMMANDS:
         for m in pattern.finditer(text):
             g = _first(m, tuple(range(1, (m.re.groups or 0) + 1)))
-            if g and not is_placeholder(m[g]) and not re.search(r"[()]", m[g]):
+            if g and not re.search(r"[()]", m[g]) and _usable(m[g], "command", vocabulary):
                 yield *m.span(g), "command"
     for m in PROSE.finditer(text):
         value = m[1].rstrip(".,;:")
-        if len(value) >= 6 and not is_placeholder(value) and (re.search(r"\d|[^\w.,-]", value) or re.search(r"[a-z][A-Z]", value)) and (not _natural(value, vocabulary) or re.search(r"\d", value)) and not re.fullmatch(r"\d+", value):
+        if len(value) >= 6 and not re.fullmatch(r"\d+", value) and _usable(value, "prose", vocabulary):
             yield m.start(1), m.start(1) + len(value), "prose"
     for m in ASSIGN.finditer(text):
         g = _first(m, (2, 3, 4, 5))

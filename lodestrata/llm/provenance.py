@@ -33,13 +33,16 @@ COMPATIBLE = (
     (-6.0, -4.0, -4.0, 0.0, -4.0),
     (-2.5, -3.0, -3.0, -3.0, 0.0),
 )
-#: Names of directories that hold what others wrote or programs made, with the weight of their evidence.
+#: Names of directories that hold what others wrote or programs made, with the weight of their evidence. A name
+#: weighs no more than one file's notice: several files that look handwritten outvote it, siblings with notices carry it.
 DIRECTORY_NAMES = {
-    V: {"vendor": 14.0, "third_party": 14.0, "third-party": 14.0, "thirdparty": 14.0, "node_modules": 14.0, "bower_components": 14.0, "jspm_packages": 14.0, "pods": 14.0, "site-packages": 14.0, "external": 12.0, "extern": 12.0, "deps": 12.0, "contrib": 12.0},
+    V: {"vendor": 6.5, "third_party": 6.5, "third-party": 6.5, "thirdparty": 6.5, "node_modules": 6.5, "bower_components": 6.5, "jspm_packages": 6.5, "pods": 6.5, "site-packages": 6.5, "external": 6.0, "extern": 6.0, "deps": 6.0, "contrib": 6.0},
     G: {"generated": 4.0, "__generated__": 4.5, "_generated": 4.5, "gen-src": 4.5, "generated-sources": 4.5, "autogen": 4.5, "gen": 1.5, "stubs": 1.0, "target": 0.5},
     M: {"dist": 0.6, "static": 0.4, "public": 0.4, "assets": 0.4},
     B: {"data": 0.4, "fixtures": 0.4, "tables": 0.4, "testdata": 0.4},
 }
+#: How much more a repository, and any directory in it, is taken for handwritten than for another label beforehand.
+ROOT, INNER = 2.0, 0.1
 MINIFIED_NAME = re.compile(r"(?:[.-]min|\.bundle|\.[0-9a-z]{8,20}|(?:^|/)bundle|\.chunk)\.(?:js|css|mjs)$", re.I)
 GENERATED_NAME = re.compile(r"(?:_gen|_generated|\.generated|\.g|\.pb|_pb2|_pb2_grpc|\.designer|\.gen)\.\w+$", re.I)
 BLOB_NAME = re.compile(r"(?:_dump|_data|_table|\.data|-dump)\.\w+$", re.I)
@@ -185,7 +188,7 @@ def _message(df: DataFrame, source: list[Column], out: str, up: bool) -> DataFra
 def directory_evidence(directory: Column) -> list[Column]:
     """Log-evidence of a directory's name."""
     last = F.lower(F.regexp_extract(directory, r"([^/]*)$", 1))
-    out = [F.when(directory == "", 2.0).otherwise(0.3)]
+    out = [F.when(directory == "", ROOT).otherwise(INNER)]
     for label in (G, M, V, B):
         c = F.lit(0.0)
         for name, weight in DIRECTORY_NAMES[label].items():

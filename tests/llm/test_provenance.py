@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lodestrata.llm.provenance import COMPATIBLE, DIRECTORY_NAMES, LABELS, evidence, labelled_files, of_values, propagate
+from lodestrata.llm.provenance import COMPATIBLE, DIRECTORY_NAMES, INNER, LABELS, ROOT, evidence, labelled_files, of_values, propagate
 
 CODE = "import json\n\ndef load_rows(path):\n    with open(path) as handle:\n        return json.load(handle)\n\ndef total(rows):\n    if not rows:\n        return 0\n    return sum(r['n'] for r in rows)\n"
 STUB = "class A(object):\n" + "".join(f"    def f{i}(self):\n        return self._f[{i}]\n" for i in range(20))
@@ -72,7 +72,7 @@ def _brute(files):
             d = d.rpartition("/")[0]
     dirs = sorted(dirs)
     names = {n: (k, w) for k, t in DIRECTORY_NAMES.items() for n, w in t.items()}
-    own = {d: [2.0 if d == "" else 0.3] + [names[d.rpartition("/")[2]][1] if d.rpartition("/")[2] in names and names[d.rpartition("/")[2]][0] == k else 0.0 for k in range(1, 5)] for d in dirs}
+    own = {d: [ROOT if d == "" else INNER] + [names[d.rpartition("/")[2]][1] if d.rpartition("/")[2] in names and names[d.rpartition("/")[2]][0] == k else 0.0 for k in range(1, 5)] for d in dirs}
     out = [[0.0] * 5 for _ in files]
     for combo in itertools.product(range(5), repeat=len(dirs)):
         at = dict(zip(dirs, combo, strict=True))
@@ -105,3 +105,31 @@ def test_operator(spark):
     assert got == {1: "handwritten", 2: "vendored", 3: "handwritten", 4: "generated", 5: "handwritten", 6: "handwritten", 7: "blob"}
     assert set(got.values()) <= set(LABELS)
     assert labelled_files(files.limit(0), inv.limit(0)).count() == 0
+
+
+def _labels(spark, paths: dict[str, str]) -> dict[str, str]:
+    files = spark.createDataFrame([(i, "o/r", p, c) for i, (p, c) in enumerate(paths.items())], "file_id long, repo string, path string, content string")
+    inventory = spark.createDataFrame([], "repo string, path string, excluded_reason string")
+    return {r.path: r.label for r in labelled_files(files, inventory).collect()}
+
+
+def test_siblings_decide_and_a_name_alone_does_not(spark):
+    """A handwritten project below a directory with such a name, and a package only its files' siblings reveal."""
+    notice = "# Copied from carob@1.2.3 on 2024-01-01\n" + CODE
+    paths = {f"{d}/part{i}.py": CODE + f"\nN = {i}\n" for d in ("external", "services/deps", "src") for i in range(5)}
+    paths |= {f"lib/carob/m{i}.py": notice for i in range(4)} | {"lib/carob/quiet.py": CODE, "lib/own.py": CODE, "lib/other.py": CODE, "lib/third.py": CODE}
+    got = _labels(spark, paths)
+    assert {p for p, label in got.items() if label != "handwritten"} == {p for p in paths if p.startswith("lib/carob/")}
+    assert got["lib/carob/quiet.py"] == "vendored"
+    # Propagation removed: what the file itself tells is not enough.
+    phi = evidence("lib/carob/quiet.py", CODE, "o/r")
+    assert phi[0] > phi[3]
+    assert _labels(spark, {"quiet.py": CODE, **{p: c for p, c in paths.items() if p.startswith("src/")}})["quiet.py"] == "handwritten"
+
+
+def test_a_vendored_file_without_a_notice_is_carried_by_name_and_siblings(spark):
+    notice = "# Copied from carob@1.2.3 on 2024-01-01\n" + CODE
+    own = {f"src/m{i}.py": CODE for i in range(6)}
+    mixed = {f"vendor/p{i}/m.py": notice if i % 2 else CODE for i in range(8)}
+    got = _labels(spark, own | mixed)
+    assert {p for p, label in got.items() if label == "vendored"} == set(mixed)

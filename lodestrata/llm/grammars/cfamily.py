@@ -17,7 +17,8 @@ string = (`(?:u8|[LuU])?"(?>[^"\\\n]+|\\[\s\S])*+"`)+
 char = `[LuU]?'(?>[^'\\\n]+|\\[\s\S])++'`
 number = `(?:0[xX][\da-fA-F.]++(?:[pP][+-]?\d++)?|0[bB][01]++|(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?)[uUlLfF]*+(?![\w.])`
 literal = number / string / char
-external = `;` / typedef / function / declaration / "_Static_assert" '(' expr ')' `;` / "asm" '(' string ')' `;` / ident '(' args? ')' `;`
+external = `;` / typedef / function / declaration / "_Static_assert" '(' expr ')' `;` / asm `;` / ident '(' args? ')' `;` / `[A-Z][A-Z0-9_]*+\((?>[^()\n"]++|"[^"\n]*+")*+\)(?=[ \t\r]*+(?:\n|\Z))`
+asm = `(?:asm|__asm__|__asm)\b` `(?:volatile|__volatile__|__volatile|goto|inline)\b`* '(' balanced* ')'
 typedef = "typedef" specs declarator (',' declarator)* attr* `;`
 function = specs declarator attr* block
 declaration = specs (initdecl (',' initdecl)*)? `;`
@@ -26,7 +27,7 @@ init = '{' (initlist)? '}' / assign
 initlist = (literal (',' literal)* `,`? &`\}`) / inititem (',' inititem)* `,`?
 inititem = ((`\.` ident / '[' expr (`\.\.\.` expr)? ']')+ '=')? init
 attr = ("__attribute__" / "__declspec") '(' balanced* ')' / ("asm" / "__asm__") '(' balanced* ')'
-balanced = '(' balanced* ')' / `[^()\s]++`
+balanced = string / '(' balanced* ')' / `[^()\s"]++`
 qualifier = `(?:const|volatile|restrict|static|extern|inline|register|auto|_Atomic|_Noreturn|_Thread_local|__inline|__inline__|__restrict|__extension__)\b` / attr
 builtin = `(?:void|char|short|int|long|float|double|signed|unsigned|_Bool|_Complex)\b`
 specs = qualifier* (builtin (builtin / qualifier)* / aggregate qualifier* / ident qualifier* / &`[A-Za-z_*]`)
@@ -52,7 +53,7 @@ qexpr = qunary (binop qunary)*
 quick = ("return" qexpr? / "goto" ident / (`(?:const\s+)?(?:unsigned\s+|struct\s+)?(?!(?:return|goto|else|case|sizeof|typedef|break|continue|do)\b)[A-Za-z_]\w*+\s*[\s*]\s*` ident '=')? qexpr) `;`
 parens = '(' qexpr ')' / '(' expr ')'
 statement = quick / !`[})]` other
-other = `;` / block / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (`(?:int|size_t|long|unsigned)\s` qname '=' qatom `;` qexpr `;` qunary ')' / (declaration / expr? `;`) expr? `;` expr? ')') statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
+other = `;` / block / asm `;` / "if" parens statement ("else" statement)? / "while" parens statement / "for" '(' (`(?:int|size_t|long|unsigned)\s` qname '=' qatom `;` qexpr `;` qunary ')' / (declaration / expr? `;`) expr? `;` expr? ')') statement / "do" statement "while" '(' expr ')' `;` / "switch" parens statement / "return" expr? `;` / "break" `;` / "continue" `;` / "goto" ident `;` / "case" cond (`\.\.\.` cond)? ':' / "default" ':' / ident ':' !':' / typedef / declaration / expr `;`
 expr = assign (',' assign)*
 binop = `<<=?|>>=?|&&|\|\||[<>=!+*/%&|^-]=|[+*/%&|^<>=-]`
 assign = unary (binop unary / `\?` expr? ':' assign)*
@@ -283,7 +284,7 @@ qname = `(?:self|(?!(?:KW)(?!\w))[^\W\d]\w*+)(?:\.[^\W\d]\w*+)*+(?![\w!])`
 qpath = `(?:[^\W\d]\w*+::)+[^\W\d]\w*+(?![\w!:])`
 qatom = literal / qpath / qname
 qcall = `[&!*]?` qatom ('(' (`&?` qatom (',' `&?` qatom)*)? ')')? (`\.` ident '(' ((`\|` ident `\|` qname (binop qatom)? / qatom))? ')')*
-qexpr = qcall (binop qcall)*
+qexpr = qcall ((`\.\.=?` / binop) qcall)*
 quick = (`(?:debug|info|warn|error|println|eprintln|trace)!` '(' qatom (',' qatom)* ')' / ("return" / "let" "mut"? ident '=')? qexpr) `;`
 statement = quick / !`\}` other
 other = `;` / attr* ("let" pattern (':' type)? ('=' expr ("else" block)?)? `;` / stmtitem / blockexpr !`[.?]` `;`? / expr (`;` / &`\}`))
@@ -298,10 +299,10 @@ qarm = (ident '(' ident ')' / ident) '=>' (`return` qexpr / qexpr) `,`
 pattern = `\|`? pat1 (`\|(?!\|)` pat1)*
 pat1 = `&&?` "mut"? pat1 / ("ref")? "mut"? ident (`@` pat1)? !`::|[({!]|\.\.` / `_(?!\w)` / `\.\.(?![=\w])` / `-`? literal (`\.\.=?` (`-`? literal / exprpath)?)? / `\.\.=` (`-`? literal / exprpath) / '(' (pattern (',' pattern)* `,`?)? ')' / '[' (pattern (',' pattern)* `,`?)? ']' / "box" pat1 / "const" block / exprpath (`!` tree / '{' (patfield (',' patfield)* `,`?)? '}' / '(' (pattern (',' pattern)* `,`?)? ')' / `\.\.=?` (`-`? literal / exprpath))?
 patfield = attr* (`\.\.` / (ident / number) ':' pattern / "ref"? "mut"? ident)
-binop = `\.\.=?|<<=|>>=|<<|>>|&&|\|\||=(?![=>])|[=!<>]=|[+*/%&|^-]=|[+*/%&|^<>]|-(?!>)`
-expr = closure / ctrl / unary (binop (closure / ctrl / unary)? / "as" type)*
-sexpr = closure / ctrl / sunary (binop !`\{` (closure / ctrl / sunary)? / "as" type)*
-ctrl = "return" expr? / "break" lifetime? expr? / "continue" lifetime? / `\.\.=?` (unary (binop unary)*)? / "yield" expr?
+binop = `<<=|>>=|<<|>>|&&|\|\||=(?![=>])|[=!<>]=|[+*/%&|^-]=|[+*/%&|^<>]|-(?!>)`
+expr = closure / ctrl / unary (`\.\.(?!=)` (closure / ctrl / unary)? / (`\.\.=` / binop) (closure / ctrl / unary) / "as" type)*
+sexpr = closure / ctrl / sunary (`\.\.(?!=)` (!`\{` (closure / ctrl / sunary))? / (`\.\.=` / binop) !`\{` (closure / ctrl / sunary) / "as" type)*
+ctrl = "return" expr? / "break" lifetime? expr? / "continue" lifetime? / `\.\.=` unary (binop unary)* / `\.\.(?!=)` (unary (binop unary)*)? / "yield" expr?
 closure = `(?:static\s+)?(?:async\s+)?(?:move\s+)?(?=\|)` (`\|\|` / `\|` (attr* pattern1 (':' type)? (',' attr* pattern1 (':' type)?)* `,`?)? `\|`) ('->' type block / expr)
 pattern1 = pat1
 unary = `[-!*]|&&?\s*(?:raw\s+(?:const|mut)\b)?` "mut"? unary / postfix

@@ -31,7 +31,7 @@ postfix = (qcall / primary) suffix* `\+\+|--`? CAST*
 suffix = `\?\.`? '(' args? ')' / `\?\.`? '[' expr ']' / `\??\.(?!\d)` word / template TSSUFFIX
 args = arg (',' arg)* `,`?
 arg = `\.\.\.`? assign
-primary = literal / function / class / newx / ident / "this" / "super" / "null" / "true" / "false" / '(' expr ')' / array / object / "import" (`\.` word / '(' args ')')
+primary = literal / function / class / newx / ident / "this" / "super" / "null" / "true" / "false" / '(' expr ')' / array / object / "import" (`\.` word / '(' args ')') JSXPRIM
 newx = "new" (`\.` word / newx / (class / function / ident / "this" / '(' expr ')') (`\.` word / '[' expr ']')* TARGS? ('(' args? ')')?)
 array = '[' (literal (',' literal)* `,`?)? ']' / '[' (`,` / arg)* ']'
 object = qobject / '{' (prop (',' prop)* `,`?)? '}'
@@ -65,7 +65,7 @@ quick = ("return" / "throw" / ("const" / "let" / "var") ident QTYPE '=' / !`(?:f
 parens = '(' qexpr ')' / '(' expr ')'
 statement = quick / !`[})]` other
 other = `;` / block / vardecl end / (`async(?![\w$])`)? &"function" function / "async" function / &`@|(?:class|abstract)(?![\w$])` class / ifs / fors / "while" parens statement / "do" statement "while" '(' expr ')' `;`? / returns / "throw" expr end / trys / switch / "break" ident? end / "continue" ident? end / "debugger" end / &"import" import / &`@|export(?![\w$])` export / TSSTATEMENT ident ':' statement / !`\{` !"function" !"class" expr end
-vardecl = ("const" / "let" / "var") declarator (',' declarator)*
+vardecl = CONSTDECL ("const" / "let" / "var") declarator (',' declarator)*
 declarator = pattern `!`? ANNOT (`=(?![=>])` assign)?
 ifs = "if" parens statement ("else" statement)?
 fors = "for" "await"? '(' (forhead / (vardecl / expr)? `;` expr? `;` expr?) ')' statement
@@ -96,6 +96,14 @@ typemember = (`(?:readonly|[-+]readonly)(?![\w$])(?!\s*[(:;,?}])`)? ('[' ident (
 interface = "interface" ident tparams? ("extends" type (',' type)*)? objtype
 tsdecl = interface / "type" ident tparams? '=' type end / "const"? "enum" ident '{' (propname ('=' assign)? (',' propname ('=' assign)?)* `,`?)? '}' / ("namespace" / "module") (string / ident (`\.` ident)*) block / "declare" (("global" block) / tsdecl / statement) / "import" ident '=' expr end / "export" ('=' expr end / "as" "namespace" ident end)
 """
+#: Elements in place of expressions. White space and comments are skipped within tags only.
+JSX = r"""
+jsx = element ws
+element = ~`<(?=[A-Za-z_$>])` (~`>` child* ~`</\s*>` / tagname TARGS? attribute* (~`/\s*>` / ~`>` child* ~`</\s*` tagname ~`>`))
+tagname = `[A-Za-z_$][\w$-]*+(?:[.:][A-Za-z_$][\w$-]*+)*+`
+attribute = '{' `\.\.\.` assign '}' / tagname ('=' (`"[^"]*+"|'[^']*+'` / '{' assign '}' / jsx))?
+child = ~`[^<>{}]++` / ~`\{` ws (`\.\.\.`? expr)? ~`\}` / element
+"""
 DECORATOR = "\ndecorator = `@` postfix\n"
 
 #: Where the two languages differ.
@@ -118,20 +126,37 @@ SLOTS = {
     "TSSTATEMENT": ("", "&`(?:interface|type|const|enum|namespace|module|declare|import|export)(?![\\w$])` tsdecl /"),
     "TYPEONLY": ("", '("type" !"from" !`[,=]`)?'),
     "TSDEFAULT": ("", "interface /"),
+    # A constant needs its value; only an ambient declaration, which TypeScript alone has, does without.
+    "CONSTDECL": ("\"const\" valued (',' valued)* / !\"const\"", ""),
 }
 
 
-def _fill(text: str, which: int) -> str:
+def _fill(text: str, which: int, elements: bool = False) -> str:
+    text = text.replace("JSXPRIM", "/ jsx" if elements else "")
     for name, choice in SLOTS.items():
         text = text.replace(name, choice[which])
     text = text.replace("TPLCHUNK", "(~`(?>[^\\x60\\\\$]+|\\\\[\\s\\S]|\\$(?!\\{))+` / ~`\\$\\{` ws expr ~`\\}`)")
     return text.replace("KW", _KW) + "\nws = ~`" + SPACE + "`\n"
 
 
+VALUED = "\nvalued = pattern `=(?![=>])` assign\n"
+
+
 def javascript() -> Grammar:
-    return Grammar(_fill(COMMON + DECORATOR, 0), SPACE)
+    return Grammar(_fill(COMMON + VALUED + DECORATOR, 0), SPACE)
+
+
+def jsx() -> Grammar:
+    return Grammar(_fill(COMMON + VALUED + DECORATOR + JSX, 0, True), SPACE)
 
 
 def typescript() -> Grammar:
-    text = COMMON.replace("params RET (block)", "params RET (block / end)")
-    return Grammar(_fill(text + DECORATOR + TYPES, 1), SPACE)
+    return Grammar(_fill(_overloads() + DECORATOR + TYPES, 1), SPACE)
+
+
+def tsx() -> Grammar:
+    return Grammar(_fill(_overloads() + DECORATOR + TYPES + JSX, 1, True), SPACE)
+
+
+def _overloads() -> str:
+    return COMMON.replace("params RET (block)", "params RET (block / end)")

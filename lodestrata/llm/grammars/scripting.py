@@ -69,8 +69,9 @@ postfix = (qcall / atom) suffix*
 suffix = '(' args? ')' / '[' slices ']' / `\.` name
 slices = slice (',' slice)* `,`?
 slice = named? ':' expr? (':' expr?)? / starexpr
-args = arg (',' arg)* `,`?
-arg = `\*\*?` expr / name '=' expr / name `:=` expr / expr compfor?
+args = (arg (',' arg)* (',' keyed)* / keyed (',' keyed)*) `,`?
+arg = `\*(?!\*)` expr / !keyed (name `:=` expr / expr compfor?)
+keyed = `\*\*?` expr / name `=(?!=)` expr
 compfor = ("async"? "for" targets "in" disj ("if" compcond)*)+
 compcond = inv (("or" / "and") inv)* / lambda
 atom = literal / name / `\.\.\.` / '(' (yield / starexpr (compfor / (',' starexpr)* `,`?))? ')' / '[' ((literal (',' literal)* `,`? &`\]`) / starexpr (compfor / (',' starexpr)* `,`?))? ']' / '{' (dictitem (compfor / (',' dictitem)* `,`?) / starexpr (compfor / (',' starexpr)* `,`?))? '}'
@@ -232,12 +233,15 @@ _RB_REGEX = re.compile(r"/(?![ =\n])(?>[^/\\\n\[]+|\\.|\[(?>[^\]\\\n]+|\\.)*+\])
 _RB_GOES_ON = frozenset("and or not , ( [ { + - * / % & && || => = < > << . .. ... | ? : ! ~ ^ -> \\".split())
 _RB_PREFIX = frozenset("( [ { , = => && || ! ~ | & < > + - * % ? : ; \n return if unless while until and or not when in puts elsif then do split match gsub sub scan".split())
 
+_RB_HEAD = frozenset("\n ; then do else begin = { ( |".split(" "))
+
 
 def ruby_layout(text: str) -> str:
     """Line ends that end a statement become \\x04; comments and here-document bodies become blanks."""
     text = re.sub(r"[\x02-\x05]", "\x06", text)
     out, at, last, stack, bars = [], 0, "\n", [], 0
     heredocs: list[str] = []
+    loops: list[int] = []  # bracket depths of loop heads whose "do" is still to come
     n = len(text)
     blank = lambda s: " " * len(s)
     while at < n:
@@ -267,7 +271,16 @@ def ruby_layout(text: str) -> str:
             out.append(" " if go_on else "\x04")
             if not go_on:
                 last, bars = "\n", 0
+                loops = [d for d in loops if d < len(stack)]
+            continue
+        if t == "do" and loops and loops[-1] == len(stack):
+            # It ends the head of a loop, it opens no block.
+            loops.pop()
+            out.append("\x04 ")
+            last = "\n"
             continue
+        if t in ("while", "until", "for") and last in _RB_HEAD:
+            loops.append(len(stack))
         out.append(t)
         if c in " \t\r\f":
             continue
@@ -291,7 +304,8 @@ SQL_SPACE = r"(?:\s++|--[^\n]*+|\#[^\n]*+|/\*(?>[^*]+|\*(?!/))*+\*/)*+"
 #: Words that cannot be a bare name in an expression.
 SQL_KW = "select from where group having order limit union except intersect and or not case when then else end in is null like between join on left right full inner outer cross values insert into update set delete create drop alter table as distinct all exists by with using"
 SQL = r"""
-file = `;`* (statement (`;`+ statement)* `;`*)? !`[\s\S]`
+file = batch* (statement (batch+ statement)* batch*)? !`[\s\S]`
+batch = `;` / `(?:(?<=\n)|(?<![\s\S]))(?i:go)(?=[ \t]*+\d*+[ \t]*+\r?(?:\n|\Z))\s*+\d*+`
 ident = `(?!(?i:KW)(?!\w))[^\W\d][\w$]*+|"(?>[^"]+|"")++"|\x60[^\x60]++\x60|\[[^\]\n]++\]`
 word = `[^\W\d][\w$]*+|"(?>[^"]+|"")++"|\x60[^\x60]++\x60`
 name = word (`\.` (word / `\*`))*
@@ -311,11 +325,11 @@ cte = ident ('(' ident (',' ident)* ')')? K_as (K_not? K_materialized)? '(' (que
 query = with? queryterm ((K_union / K_except / K_intersect / K_minus) (K_all / K_distinct)? queryterm)* (K_order K_by orderitem (',' orderitem)*)? (K_limit expr (',' expr)?)? (K_offset expr (K_rows / K_row)?)? (K_fetch (K_first / K_next) number? (K_rows / K_row) K_only)? (K_for (K_update / K_share))?
 queryterm = select / '(' query ')' / K_values tuple (',' tuple)*
 select = K_select (K_distinct (K_on '(' expr (',' expr)* ')')? / K_all / K_top number)? selectitem (',' selectitem)* (K_into name)? (K_from tables)? (K_where expr)? (K_group K_by expr (',' expr)*)? (K_having expr)? (K_window ident K_as window (',' ident K_as window)*)? (K_qualify expr)?
-selectitem = `\*` / expr (K_as? (ident / string))?
+selectitem = `\*` / expr (K_as (ident / string) / !batch !K_qualify (ident / string))?
 tables = tableref (',' tableref)*
 tableref = tableitem (jointype tableitem (K_on expr / K_using '(' ident (',' ident)* ')')?)*
 jointype = (K_natural? (K_inner / (K_left / K_right / K_full) K_outer? / K_cross)? K_lateral?) K_join
-tableitem = (K_lateral? '(' query ')' / '(' tableref ')' / name ('(' (expr (',' expr)*)? ')')?) (K_as? ident ('(' ident (',' ident)* ')')?)?
+tableitem = (K_lateral? '(' query ')' / '(' tableref ')' / name ('(' (expr (',' expr)*)? ')')?) ((K_as / !batch !K_qualify) ident ('(' ident (',' ident)* ')')?)?
 orderitem = expr (K_asc / K_desc)? (K_nulls (K_first / K_last))?
 create = K_create (K_or K_replace)? (K_temporary / K_temp / K_global / K_local / K_unlogged / K_external)? (K_table ifnot? name (K_as query / K_like name / '(' (coldef (',' coldef)*)? ')' tableopt* (K_as query)?) / (K_materialized)? K_view ifnot? name ('(' ident (',' ident)* ')')? K_as query (K_with word* K_check K_option)? / K_unique? K_index K_concurrently? ifnot? name? K_on name (K_using word)? '(' indexcol (',' indexcol)* ')' (K_include tuple)? (K_where expr)? / (K_schema / K_database / K_extension / K_sequence / K_type / K_role / K_user / K_domain) rest / (K_function / K_procedure / K_trigger) rest)
 ifnot = K_if K_not K_exists
@@ -331,7 +345,7 @@ drop = K_drop (K_table / K_view / K_index / K_schema / K_database / K_type / K_s
 other = (K_begin / K_commit / K_rollback / K_start / K_set / K_grant / K_revoke / K_truncate / K_use / K_pragma / K_explain / K_analyze / K_vacuum / K_copy / K_comment / K_call / K_do / K_lock / K_show / K_declare / K_savepoint / K_release / K_end / K_refresh / K_attach / K_merge) rest?
 rest = rest1+
 rest1 = '(' rest1* ')' / string / `[^;()'"]` / `"[^"]*"`
-window = '(' ident? (K_partition K_by expr (',' expr)*)? (K_order K_by orderitem (',' orderitem)*)? ((K_rows / K_range / K_groups) rest1+)? ')'
+window = '(' (!K_partition !K_order !K_rows !K_range ident)? (K_partition K_by expr (',' expr)*)? (K_order K_by orderitem (',' orderitem)*)? ((K_rows / K_range / K_groups) rest1+)? ')'
 expr = unary (binop unary / K_is K_not? (K_null / K_true / K_false / K_unknown / K_distinct K_from unary) / K_not? (K_in '(' (query / expr (',' expr)*) ')' / (K_like / K_ilike / K_similar K_to / K_rlike / K_regexp) unary (K_escape unary)? / K_between unary K_and unary) / K_collate word / K_at K_time K_zone unary / K_isnull / K_notnull)*
 binop = `\|\||<=>|<>|!=|<=|>=|<<|>>|->>?|#>>?|@>|<@|!?~\*?|&&|::(?!)|[=<>+*/%&|^-]` / K_and / K_or / K_xor / K_div / K_mod
 unary = `[-+~]` unary / K_not unary / K_exists '(' query ')' / (K_any / K_all / K_some) '(' (query / expr) ')' / primary (`::` type / `\[` expr (':' expr)? ']' / `\.` word)*

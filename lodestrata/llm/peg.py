@@ -171,7 +171,7 @@ class Packrat:
 
     def __init__(self, grammar: Grammar, fast: bool):
         self.g, self.is_fast = grammar, fast
-        self.furthest, self.text = 0, ""
+        self.furthest, self.text, self.too_deep = 0, "", False
         self.memo: dict[str, dict[int, int]] = {}
         self.leading = _compile(grammar.space)
         self.refs = {n: self._rule(n) for n in grammar.rules}
@@ -318,15 +318,23 @@ class Packrat:
         return look
 
     def parse(self, text: str) -> tuple[bool, int]:
-        """(whether the whole input is accepted, furthest position at which something was expected)."""
-        self.text, self.furthest = text, 0
-        start = self.leading.match(text).end()
-        end = self.refs[self.g.start](start)
-        ok = end == len(text)
-        if end >= 0 and not ok:
-            self.furthest = max(self.furthest, end)
-        furthest = len(text) if ok else self.furthest
-        self.text = ""
-        for memo in self.memo.values():
-            memo.clear()
-        return ok, furthest
+        """(whether the whole input is accepted, furthest position at which something was expected).
+
+        Input nested deeper than the interpreter's stack allows is not accepted; ``too_deep`` tells so.
+        """
+        self.text, self.furthest, self.too_deep = text, 0, False
+        try:
+            start = self.leading.match(text).end()
+            end = self.refs[self.g.start](start)
+            ok = end == len(text)
+            if end >= 0 and not ok:
+                self.furthest = max(self.furthest, end)
+            return ok, len(text) if ok else self.furthest
+        except RecursionError:
+            self.too_deep = True
+            return False, self.furthest
+        finally:
+            # Nothing of one input may be seen by the next.
+            self.text = ""
+            for memo in self.memo.values():
+                memo.clear()

@@ -25,10 +25,10 @@ same = lambda text: text
 #: Language by extension, and per language its grammar and what makes its layout visible.
 EXTENSIONS = {
     "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
-    "java": "java", "c": "c", "h": "c", "cs": "csharp", "go": "go", "rs": "rust", "php": "php", "rb": "ruby", "sql": "sql",
+    "jsx": "jsx", "tsx": "tsx", "java": "java", "c": "c", "h": "c", "cs": "csharp", "go": "go", "rs": "rust", "php": "php", "rb": "ruby", "sql": "sql",
 }
 LANGUAGES: dict[str, tuple[Callable[[], Grammar], Callable[[str], str]]] = {
-    "python": (scripting.python, scripting.python_layout), "javascript": (ecmascript.javascript, same), "typescript": (ecmascript.typescript, same), "java": (cfamily.java, same),
+    "python": (scripting.python, scripting.python_layout), "javascript": (ecmascript.javascript, same), "typescript": (ecmascript.typescript, same), "jsx": (ecmascript.jsx, same), "tsx": (ecmascript.tsx, same), "java": (cfamily.java, same),
     "c": (cfamily.c, same), "csharp": (cfamily.csharp, same), "go": (cfamily.go, cfamily.go_layout), "rust": (cfamily.rust, same), "php": (cfamily.php, same), "ruby": (scripting.ruby, scripting.ruby_layout), "sql": (scripting.sql, same),
 }
 CONFLICT = re.compile(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?|\|{7}(?: .*)?)\r?$", re.M)
@@ -61,7 +61,7 @@ def is_valid(language: str, content: str) -> bool:
 def other_language(language: str, content: str) -> str | None:
     """A language that the content does follow, if it is not blank there."""
     for name in LANGUAGES:
-        if name not in (language, "php", "sql") and is_valid(name, content):
+        if name not in (language, "php", "sql", "jsx", "tsx") and is_valid(name, content):
             return name
     return None
 
@@ -72,8 +72,11 @@ def diagnose(language: str, content: str) -> tuple[int, int, str] | None:
     at = grammar(language).failure(laid)
     if at is None:
         return None
+    too_deep = grammar(language).diagnosing.too_deep
     offset = min(len(content), at - laid.count("\x03", 0, at) if language == "python" else at)
     line = content.count("\n", 0, offset) + 1
+    if too_deep:
+        return offset, line, "nesting"
     # A marker of a merge: at the failure or, where a line of it parses, further down.
     lines = content.split("\n")
     if CONFLICT.search("\n".join(lines[max(0, line - 2) : line + 1])) or len(CONFLICT.findall(content)) >= 2:
@@ -93,7 +96,8 @@ def judged_files(files: DataFrame, detail: bool = True) -> DataFrame:
 
     ``valid`` is null for contents that are null or of no known language; empty and comment-only files are
     valid. Repeated rows of a file come out once; if rows of one file_id differ in content, each verdict
-    does. Content of any length is read whole.
+    does. Content of any length is read whole; one nested some ten thousand levels deep, which no compiler of these
+    languages takes, is invalid for its nesting.
     """
     ship_package(files.sparkSession)
     schema = T.StructType([

@@ -31,6 +31,43 @@ INVALID = {
 }
 
 
+#: Verdicts that once were wrong.
+ACCEPTED = {
+    "ruby": ["while true do break end\n", "until a.b? do\n  c { |x| x }\nend\n", "for i in 1..3 do puts i end\n", "x.each do |y|\n  y\nend\n"],
+    "c": ['void f(void) { asm volatile("nop"); __asm__("mov (%0), %1" : "=r"(a) : "r"(b)); }', 'MODULE_LICENSE("GPL")\nint x;\n', 'asm("nop");'],
+    "sql": ["SELECT 1 AS a\nGO\nSELECT a FROM t\nGO\n", "SELECT a FROM t QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1", "SELECT a go FROM t"],
+    "rust": ["fn f() { let a = 1..; let b = ..=3; for i in 0..n { } let c = 1..=x; let d = &v[..]; match x { 1..=2 => {}, _ => {} } }"],
+    "python": ["f(a, *b, c=1, *d, **e)\n", "f(a == b, c=d)\n", "f(x for x in y)\n", "f(a := 1, b=2)\n"],
+    "javascript": ["const x = 1, y = 2;\nfor (const a of b) { }\nlet z;\n"], "typescript": ["declare const x: number;\n"],
+    "jsx": ["const a = <div className=\"x\" {...p}>text // no comment {b ? <B.C/> : null}<></></div>;\n", "function F() {\n  return (\n    <ul>\n      {xs.map(x => <li key={x}>{x}</li>)}\n    </ul>\n  );\n}\n", "const y = a < b;\n"],
+    "tsx": ["const F = <T,>(p: P<T>) => <G<T> items={p.items} on={(e: E) => e.x}>a &amp; b</G>;\n"],
+}
+REJECTED = {
+    "rust": ["fn f() { let x = 1 + ; }", "fn f() { g(1 +); }", "fn f() { if a { 1 * } }", "fn f() { let a = x..=; }", "fn f() { let a = ..=; }"], "python": ["f(a=1, 2)\n", "f(**a, b)\n"], "javascript": ["const x;"],
+    "jsx": ["const a = <div>;", "const a = <div></span", "const a = <div x=></div>;"], "tsx": ["const a = <div>{</div>;"], "ruby": ["while true do break\n"], "sql": ["SELECT 1\nGO SELECT\n"],
+}
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, v in ACCEPTED.items() for t in v])
+def test_accepted(language, text):
+    assert is_valid(language, text), diagnose(language, text)
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, v in REJECTED.items() for t in v])
+def test_rejected(language, text):
+    assert not is_valid(language, text) and diagnose(language, text) is not None
+
+
+@pytest.mark.parametrize("language,opening", [("python", "("), ("javascript", "["), ("c", "int f() {" + "{"), ("java", "class A {")])
+def test_deep_nesting_fails_one_file_only(language, opening):
+    text = opening * 100_000
+    assert not is_valid(language, text)
+    good = VALID[language][2 if len(VALID[language]) > 2 else 0]
+    assert is_valid(language, good)
+    if language == "python":
+        assert diagnose(language, text)[2] == "nesting" and is_valid(language, good)
+
+
 @pytest.mark.parametrize("language,text", [(k, t) for k, v in VALID.items() for t in v])
 def test_valid(language, text):
     assert is_valid(language, text), diagnose(language, text)

@@ -33,7 +33,9 @@ RANK, OVERSAMPLE = 64, 8
 #: Words of half a passage; passages are two neighbouring halves.
 HALF = 12
 #: Latent cosine from which a passage is looked at, share of a sentence that must be in order, share of an item.
-NEAR, IN_ORDER, LEAKED = 0.7, 0.6, 0.5
+NEAR, IN_ORDER, LEAKED = 0.5, 0.6, 0.5
+#: Share that is enough where the answer stands in the document too: words replaced by others are lost to the ordered-word check.
+WITH_ANSWER = 0.4
 #: Words in a row from which a part of a sentence counts.
 RUN = 5
 ITEMS_PER_PASS = 5_000
@@ -100,6 +102,11 @@ def common(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def contains(doc: list[int], part: list[int]) -> bool:
+    """Whether ``part`` stands in ``doc``; nothing stands nowhere."""
+    return bool(part) and any(doc[i] == part[0] and doc[i : i + len(part)] == part for i in range(len(doc) - len(part) + 1))
+
+
 class Passages:
     """Blocks of ``HALF`` words of a batch of documents; a passage is a block and the next one of its document."""
 
@@ -239,12 +246,14 @@ class Items:
     """
 
     def __init__(self, rows: list[tuple]):
-        parts = {k: (split(q), set(shared)) for k, q, _, shared in rows}
-        self.keys, self.item, self.tokens, self.total, self.of = [], [], [], {}, defaultdict(list)
-        self.answers = {k: words(a or "") for k, _, a, _ in rows}
+        # An item is a row: an id may come with several questions.
+        parts = {i: (split(q), set(shared)) for i, (_, q, _, shared) in enumerate(rows)}
+        self.keys = [r[0] for r in rows]
+        self.item, self.tokens, self.total, self.of = [], [], {}, defaultdict(list)
+        self.answers = [hashed(words(a or "")) for _, _, a, _ in rows]
         #: Runs of every piece: hash and place of the first word; a run that crosses the end of a piece is in both.
         self.runs: list[list[tuple[int, int]]] = []
-        owner: dict[int, object] = {}
+        owner: dict[int, int] = {}
         for k, (ss, shared) in parts.items():
             own = [s for s in ss if "s" + " ".join(s) not in shared] or ss
             self.total[k] = sum(map(len, own))
@@ -290,9 +299,9 @@ def _found_in(sentence: list[int], doc: list[int], near: list[int] | None = None
     n = len(sentence)
     reach = n + n // 2 + 4
     best, need = 0, IN_ORDER * n
+    own = set(sentence)
     if near is None:
         # Places at which many of the sentence's words begin to gather.
-        own = set(sentence)
         hits = [i for i, x in enumerate(doc) if x in own]
         near, lo = [], 0
         for hi, at in enumerate(hits):
@@ -306,14 +315,18 @@ def _found_in(sentence: list[int], doc: list[int], near: list[int] | None = None
         if at - last < n // 3 and best >= 0.95 * n:
             continue
         last = at
-        best = max(best, common(sentence, doc[max(0, at) : at + reach + 2]))
+        window = doc[max(0, at) : at + reach + 2]
+        # No more words can be in order than there are.
+        if sum(map(own.__contains__, window)) >= need:
+            best = max(best, common(sentence, window))
         if best == n:
             break
     return best if best >= need else 0
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, near: float = NEAR, leaked: float = LEAKED) -> DataFrame:
-    """(item_id, doc_id, coverage, has_answer): documents that hold at least ``leaked`` of an item's own words.
+    """(item_id, doc_id, coverage, has_answer): documents that hold at least ``leaked`` of an item's own words, or
+    ``WITH_ANSWER`` of them and its answer.
 
     Sentences that several items share (instructions, stock phrases) count neither way, unless an item has no
     others; a sentence most of which is not there counts by its runs of ``RUN`` words or more that no other item has. Null and blank texts hold nothing, null and blank questions are in nothing. Repeated documents come
@@ -349,7 +362,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, near: float = NEAR, lea
             out = part if out is None else out.unionByName(part)
             block = []
         if row is None:
-            return out.distinct() if out is not None else spark.createDataFrame([], schema)
+            if out is None:
+                return spark.createDataFrame([], schema)
+            # Of several questions of one id, the one that leaked most.
+            return out.groupBy("item_id", "doc_id").agg(F.max("coverage").alias("coverage"), F.max("has_answer").alias("has_answer"))
 
 
 def _one_pass(tokens: DataFrame, shared, schema: T.StructType, near: float, leaked: float) -> DataFrame:
@@ -376,13 +392,14 @@ def _one_pass(tokens: DataFrame, shared, schema: T.StructType, near: float, leak
                 doc = flat[starts[d] : starts[d + 1]].tolist()
                 confirmed = {items.item[s] for s, places in sentences.items() if _found_in(items.tokens[s], doc, [max(0, q - HALF) for q in places] + places)}
                 # Without a confirmed sentence, the runs alone must do.
-                confirmed |= {k for k, r in seen.items() if sum(items.in_runs(s, r) for s in items.of[k]) >= leaked * items.total[k]}
+                confirmed |= {k for k, r in seen.items() if sum(items.in_runs(s, r) for s in items.of[k]) >= min(leaked, WITH_ANSWER) * items.total[k]}
                 for k in confirmed:
                     got = sum(max(_found_in(items.tokens[s], doc), items.in_runs(s, seen.get(k, set()))) for s in items.of[k])
                     share = got / items.total[k]
-                    if share >= leaked:
-                        answer = hashed(items.answers[k])
-                        rows.append((k, keys[d], round(share, 6), bool(answer) and any(doc[i : i + len(answer)] == answer for i in range(len(doc)))))
+                    if share >= min(leaked, WITH_ANSWER):
+                        answered = contains(doc, items.answers[k])
+                        if share >= leaked or answered:
+                            rows.append((items.keys[k], keys[d], round(share, 6), answered))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 

@@ -96,12 +96,16 @@ class Rules:
             elif len(own) == 1:
                 by_class[words][own[0]] = n
         self.evidence: dict[frozenset, dict[str, float]] = {}
+        #: Evidence of words that are no rules, for documents in which no rule matches.
+        self.hints: dict[str, tuple[float, ...]] = {}
         for words in sorted(count, key=lambda w: (len(w), sorted(w))):
             n, got = count[words], by_class.get(words, {})
             if len(words) > 1 and n < MIN_TOGETHER:
                 continue
             vector = {c: math.log((got.get(c, 0) + SMOOTHING * prior[c]) / (n + SMOOTHING) / prior[c]) for c in self.classes}
             top = max(self.classes, key=lambda c: (vector[c], c))
+            if len(words) == 1:
+                self.hints[next(iter(words))] = tuple(vector[c] for c in self.classes)
             if vector[top] < math.log(MIN_LIFT) or surely(got.get(top, 0), n) < least:
                 continue
             if len(words) > 1:
@@ -141,6 +145,16 @@ class Rules:
         return top, self.prior[top] / norm
 
 
+    def guess(self, words: list[str]) -> str | None:
+        """Most likely class by all words, rules or not, and how common the classes are; None if nothing was learnt."""
+        if not self.hints:
+            return None
+        total = np.log([self.prior[c] for c in self.classes])
+        for w in set(words) & self.hints.keys():
+            total += self.hints[w]
+        return self.classes[int(np.argmax(total))]
+
+
 def known_subject(label: Column, subjects: list[str]) -> Column:
     """The subject a label means: letter case and up to two wrong letters are forgiven."""
     said = F.lower(F.trim(label))
@@ -305,8 +319,9 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, subject, share, sentences): subjects of every document with the share of sentences about them.
 
-    Null and blank texts have none; every other document has at least the subject with the most evidence, if
-    any rule matches, and at most three. Ties go to the alphabetically first subject. Labels that name no
+    Null and blank texts have none; every other document has at least the subject with the most evidence and at
+    most three. Where no rule matches, the words that are no rules and the subjects' frequency decide, with a
+    share of 0. Ties go to the alphabetically first subject. Labels that name no
     subject are ignored; without labels nothing can be learnt and no rows result. Repeated rows count once.
     """
     spark = documents.sparkSession
@@ -334,7 +349,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                 chosen = [c for c in top if weight[c] >= share * n][:MOST_SUBJECTS]
                 if not chosen and (weight or doubt):
                     chosen = [min(weight or doubt, key=lambda c: (-weight[c], -doubt[c], c))]
-                rows += [(key, c, round(weight[c] / n, 6), n) for c in chosen]
+                elif not chosen and text.strip():
+                    guessed = rules.guess([w for s in found for w in s])
+                    chosen = [guessed] if guessed else []
+                rows += [(key, c, round(weight[c] / max(n, 1), 6), n) for c in chosen]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, schema).distinct()

@@ -72,6 +72,56 @@ def test_blocks_of_items_make_no_difference(spark, monkeypatch):
     assert found[0] == found[1] == {(1, 1, 1.0), (2, 2, 1.0)}
 
 
+def test_candidate_search_finds_what_an_exact_scan_finds(spark):
+    """Recall of the latent search over sentences of which every fourth word was replaced, at any offset."""
+    rng = random.Random(12)
+    asked = [sentence(rng) for _ in range(60)]
+    docs, planted = [], []
+    for d in range(300):
+        parts = [sentence(rng, rng.randrange(5, 30)) for _ in range(6)]
+        if d % 2:
+            k = rng.randrange(len(asked))
+            w = asked[k].split()
+            for i in range(rng.randrange(4), len(w), 4):
+                w[i] = rng.choice(WORDS)
+            parts.insert(3, " ".join(w))
+            planted.append((d, k))
+        docs.append((d, " ".join(parts)))
+    tokens = leakage.tokenized(spark.createDataFrame(docs, "doc_id long, text string"))
+    basis = leakage.latent_basis(tokens)
+    items = leakage.Items([(k, q, "", []) for k, q in enumerate(asked)])
+    texts = dict(docs)
+    exact = {(d, k) for d in texts for k in range(len(asked)) if leakage._found_in(items.tokens[k], hashed(words(texts[d])))}
+    assert set(planted) <= exact
+    near = set()
+    queries = items.latent(basis)
+    for d, text in texts.items():
+        flat = np.array(hashed(words(text)), np.uint32)
+        x = Passages(np.array([len(flat)]), flat).project(basis)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        near |= {(d, int(k)) for k in np.flatnonzero((x @ queries.T >= leakage.NEAR).any(axis=0))}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_answers_decide_where_words_were_replaced(spark):
+    rng = random.Random(21)
+    whole = sentence(rng, 40).split()
+    body = " ".join(whole[:18])
+    rest = sentence(rng, 30)
+    ii = spark.createDataFrame([(1, " ".join(whole) + ".", "zanzibar quorum")], "item_id long, question string, answer string")
+    dd = spark.createDataFrame([(1, f"{rest} {body} {rest}"), (2, f"{rest} {body} {rest} Zanzibar quorum."), (3, f"{rest} Zanzibar quorum {rest}")], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id): (r.coverage, r.has_answer) for r in leaked_items(dd, ii).collect()}
+    assert set(got) == {(1, 2)} and 0.4 <= got[1, 2][0] < 0.5 and got[1, 2][1]
+
+
+def test_an_id_with_several_questions(spark):
+    rng = random.Random(22)
+    one, two = sentence(rng, 30), sentence(rng, 30)
+    ii = spark.createDataFrame([(1, one + ".", ""), (1, two + ".", "")], "item_id long, question string, answer string")
+    dd = spark.createDataFrame([(1, sentence(rng) + " " + one), (2, sentence(rng) + " " + two), (3, sentence(rng, 60))], "doc_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in leaked_items(dd, ii).collect()} == {(1, 1), (1, 2)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):

@@ -45,6 +45,20 @@ def test_held_out_accuracy(spark):
     assert document_subjects(dd, ll, ss.limit(0)).count() == 0
 
 
+def test_every_document_that_is_not_blank_has_a_subject(spark):
+    rng = random.Random(5)
+    docs, want = make(rng, 60)
+    docs += [(700, "Nothing here is known to anyone."), (701, "!!"), (702, "verdict"), (703, " ")]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ll = spark.createDataFrame([(d, main, "a", None) for d, _, main in want[:30]], "doc_id long, subject string, annotator string, words string")
+    ss = spark.createDataFrame([(s, "d") for s in TERMS], "subject string, description string")
+    got: dict = {}
+    for r in document_subjects(dd, ll, ss).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert set(got) == {d for d, _ in docs} - {703} and all(1 <= len(x) <= 3 for x in got.values())
+    assert got[702] == {"law"}
+
+
 def test_redundant_rules_are_pruned():
     rules = Rules([(["x"], 100), (["x", "class=a"], 98), (["x", "z"], 30), (["x", "z", "class=a"], 29)], {"a": 0.2, "b": 0.8}, 0.3, 3)
     assert set(rules.evidence) == {frozenset("x")}

@@ -39,6 +39,9 @@ WITH_ANSWER = 0.4
 #: Words in a row from which a part of a sentence counts.
 RUN = 5
 ITEMS_PER_PASS = 5_000
+#: Words of a piece of a sentence, bits of a bitmap of words, and blocks after its first that a piece may reach into.
+PIECE, BITS = 40, 1024
+AHEAD = (PIECE + PIECE // 2 + 6) // HALF + 1
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _UNSEEN = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
@@ -140,6 +143,17 @@ class Passages:
         out[two] += sums[self.second[two]]
         return out
 
+    def around(self, tokens: np.ndarray) -> np.ndarray:
+        """A bitmap of the words of each block, the one before and the next ``AHEAD``, of its document."""
+        bits = np.zeros((self.blocks, BITS // 64), np.uint64)
+        np.bitwise_or.at(bits, (self.token_block, (tokens & np.uint32(BITS - 1)) >> np.uint32(6)), np.uint64(1) << (tokens & np.uint32(63)).astype(np.uint64))
+        out = bits.copy()
+        for step in (-1, *range(1, AHEAD + 1)):
+            here, there = (slice(1, None), slice(None, -1)) if step < 0 else (slice(None, -step), slice(step, None))
+            same = self.block_doc[here] == self.block_doc[there]
+            out[here][same] |= bits[there][same]
+        return out
+
     def transposed(self, latent: np.ndarray) -> np.ndarray:
         """Sum over passages and their words of the passages' vectors: buckets x rank, without term weights."""
         per_block = np.zeros((self.blocks, latent.shape[1]), np.float32)
@@ -260,8 +274,8 @@ class Items:
             for s in own:
                 mine = [(i, h) for i, h in enumerate(runs(np.array(hashed(s), np.uint32)).tolist()) if f"r{h}" not in shared]
                 owner.update((h, k) for _, h in mine)
-                for a in range(0, len(s), 40):
-                    piece = s[a : a + 40]
+                for a in range(0, len(s), PIECE):
+                    piece = s[a : a + PIECE]
                     self.of[k].append(len(self.item))
                     self.item.append(k)
                     self.tokens.append(hashed(piece))
@@ -289,6 +303,13 @@ class Items:
         n = len(self.tokens[piece])
         return len({i + j for h, i in self.runs[piece] if h in seen for j in range(RUN) if 0 <= i + j < n})
 
+    def bitmaps(self) -> np.ndarray:
+        out = np.zeros((len(self.tokens), BITS // 64), np.uint64)
+        for i, t in enumerate(self.tokens):
+            for h in t:
+                out[i, (h & (BITS - 1)) >> 6] |= np.uint64(1 << (h & 63))
+        return out
+
     def latent(self, basis: np.ndarray) -> np.ndarray:
         out = np.stack([basis[np.array(t, np.int64) & (BUCKETS - 1)].sum(0) for t in self.tokens]) if self.tokens else np.zeros((0, basis.shape[1]), np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -371,16 +392,23 @@ def leaked_items(documents: DataFrame, items: DataFrame, near: float = NEAR, lea
 def _one_pass(tokens: DataFrame, shared, schema: T.StructType, near: float, leaked: float) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, items = shared.value
-        queries = items.latent(basis)
+        queries, own = items.latent(basis), items.bitmaps()
+        # How many of a piece's words, as bits, may be absent before too few are left to be in order.
+        spare = np.array([len(t) - IN_ORDER * len(t) for t in items.tokens])
+        has = np.bitwise_count(own).sum(axis=1)
         target = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
         for b, lengths, flat in _batches(stream):
             p = Passages(lengths, flat)
             x = p.project(basis)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            there = p.around(flat)
             candidates: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
             for a in range(0, len(x), 2048):
                 rows, cols = np.nonzero(x[a : a + 2048] @ queries.T >= near)
                 blocks = p.passage_block[rows + a]
+                absent = has[cols] - np.bitwise_count(there[blocks] & own[cols]).sum(axis=1)
+                possible = absent <= spare[cols] + 1e-9
+                blocks, cols = blocks[possible], cols[possible]
                 for d, at, s in zip(p.block_doc[blocks].tolist(), p.block_at[blocks].tolist(), cols.tolist(), strict=True):
                     candidates[d][s].append(at)
             starts = np.concatenate([[0], np.cumsum(lengths)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -62,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -89,8 +90,3 @@ def row_bound(df: DataFrame) -> int:
 def partitions_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Enough partitions that none holds more than about ``rows_per_task`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
-
-
-@atexit.register
-def _forget() -> None:
-    _shipped.clear()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.text import classify
+from lodestrata.functions.text import classify, extension
 from lodestrata.runtime import ship_package
 
 MAX_SOURCE_BYTES = 4 << 20
@@ -135,7 +134,7 @@ def inventory(spark: SparkSession, root: str, max_source_bytes: int = MAX_SOURCE
     files = files.withColumn("excluded_reason", F.when(over, F.concat(F.lit("SOURCE_SIZE_LIMIT: size="), F.col("size_bytes"), F.lit(f" limit={max_source_bytes}"))))
     wanted = files.where((F.col("support") != "metadata") & F.col("excluded_reason").isNull())
     read = read_files(wanted, root, reader)
-    binary = F.col("content").isNotNull() & (~F.is_valid_utf8(F.col("content").cast("string")) | (F.position(F.lit("00"), F.regexp_replace(F.hex("content"), "(..)", "$1 ")) > 0))
+    binary = F.col("content").isNotNull() & (~F.is_valid_utf8(F.col("content").cast("string")) | F.expr("position(x'00' in content) > 0"))
     hashed = read.select("path", F.sha2("content", 256).alias("content_sha256"), F.coalesce("read_error", F.when(binary, "BINARY_CONTENT")).alias("read_error"))
     return files.join(hashed, "path", "left").select("path", "category", "support", "content_sha256", "excluded_reason", "read_error", "size_bytes", "modified_ns")
 
@@ -149,5 +148,19 @@ def verified(files: DataFrame, root: str) -> DataFrame:
     return again.select("path", F.when(same, F.col("content")).alias("content"), F.coalesce("read_error", F.when(~same, stale)).alias("error"))
 
 
-def file_sha256(path: str) -> str:
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+def readable(files: DataFrame, categories: tuple[str, ...] | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Inventory rows of these categories and extensions that were hashed and neither excluded nor unreadable."""
+    kept = files.where("content_sha256 is not null and excluded_reason is null and read_error is null")
+    if categories is not None:
+        kept = kept.where(F.col("category").isin(*categories))
+    return kept if extensions is None else kept.where(extension(F.col("path")).isin(*extensions))
+
+
+def parse_candidates(files: DataFrame) -> DataFrame:
+    """What is to be parsed: source files with a hash that could be read."""
+    return files.where("category = 'source' and content_sha256 is not null and read_error is null")
+
+
+def newest_cache(candidates: DataFrame) -> DataFrame:
+    """(location): of the places that may hold a cache the one whose active generation is newest; ties by location."""
+    return candidates.where("active_scan_id is not null").agg(F.max_by("location", F.struct("created_at", "location")).alias("location")).where("location is not null")

@@ -24,6 +24,8 @@ class Rule:
     label: str
     pattern: str
     check: str | None = None
+    #: Which group of the pattern is the value; 0 is all of it.
+    group: int = 0
 
 
 #: The ten rules in their order; the later ones see the output of the earlier ones.
@@ -39,6 +41,15 @@ RULES = (
     Rule("BrazilCNS", "HealthTech", "HEALTH_ID", r"\b[12789]\d{2}\.?\d{4}\.?\d{4}\.?\d{4}\b", "cns"),
     Rule("MAC_Address", "Industrial", "MAC_ADDR", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}(?:[0-9A-Fa-f]{2})\b"),
 )
+#: Secrets go before the identifiers, so that these find nothing within them. The catalogue is our own.
+SECRETS = (
+    Rule("PrivateKey", "Secret", "PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("AwsAccessKey", "Secret", "AWS_KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
+    Rule("JsonWebToken", "Secret", "JWT_TOKEN", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("DatabasePassword", "Secret", "DB_PASSWORD", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]*:([^\s/\"'<>]+)@[A-Za-z0-9\[]", None, 1),
+    Rule("GitHubToken", "Secret", "GITHUB_TOKEN", r"\bgh[opsur]_[A-Za-z0-9]{30,}\b"),
+)
+ALL_RULES = (*SECRETS, *RULES)
 _CHECKS = {
     "cpf": lambda d, m: _mod11(d, 11, checksums.CPF_WEIGHTS),
     "cnpj": lambda d, m: _mod11(d, 14, checksums.CNPJ_WEIGHTS),
@@ -88,7 +99,7 @@ def detect(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES)
     """(key, label, match) of every occurrence in the raw text; one scan, no Python."""
 
     def matches(r: Rule) -> Column:
-        every = F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0))
+        every = F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(r.group))
         kept = F.filter(every, checksums.VALIDATORS[r.check]) if r.check else every
         return F.transform(kept, lambda m: F.struct(F.lit(r.label).alias("label"), m.alias("match")))
 
@@ -96,22 +107,24 @@ def detect(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES)
     return df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*found)).alias("f")).select(key, "f.label", "f.match")
 
 
-def redact_text(text: str | None, rules: tuple[Rule, ...] = RULES) -> str | None:
-    """Occurrences that pass their checksum become [REDACTED_LABEL:hash]."""
+def redact_text(text: str | None, rules: tuple[Rule, ...] = ALL_RULES) -> str | None:
+    """Secrets, then identifiers that pass their checksum, become [REDACTED_LABEL:hash]."""
     if text is None:
         return None
     for r in rules:
 
         def put(m: re.Match, r: Rule = r) -> str:
+            value = m[r.group]
             if r.check and not _CHECKS[r.check](re.sub(r"[^0-9]", "", m[0]), m[0]):
                 return m[0]
-            return f"[REDACTED_{r.label}:{hashlib.sha256(m[0].encode()).hexdigest()[:4]}]"
+            marked = f"[REDACTED_{r.label}:{hashlib.sha256(value.encode()).hexdigest()[:4]}]"
+            return m[0][: m.start(r.group) - m.start()] + marked + m[0][m.end(r.group) - m.start() :]
 
         text = re.sub(r.pattern, put, text)
     return text
 
 
-def redact(df: DataFrame, text: str, out: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(df: DataFrame, text: str, out: str, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
     """Adds the redacted text; null stays null."""
     ship_package(df.sparkSession)
 
@@ -144,8 +157,15 @@ def prompt_guard(text: Column, origin: Column, file: Column, symbol: Column) ->
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per byte of the UTF-8 form; 0 for the empty text."""
+    """Bits per byte of the UTF-8 form; 0 for the empty text. Equal bytes lie together once sorted, so one pass counts them."""
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     n = F.size(pairs)
-    terms = F.transform(F.array_distinct(pairs), lambda b: (F.size(F.filter(pairs, lambda x: x == b)) / n) * F.log2(F.size(F.filter(pairs, lambda x: x == b)) / n))
-    return F.when(n == 0, 0.0).otherwise(-F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    part = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(at: Column, x: Column) -> Column:
+        same = at["last"] == x
+        return F.struct(x.alias("last"), F.when(same, at["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, at["sum"]).otherwise(at["sum"] + part(at["run"])).alias("sum"))
+
+    total = F.aggregate(F.sort_array(pairs), start, step, lambda at: at["sum"] + part(at["run"]))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)

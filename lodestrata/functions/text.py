@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 #: What raises the complexity of a function.
 COMPLEXITY_KEYWORDS = ("if ", "if(", "elif ", "elif(", "else if", "while ", "while(", "for ", "for(", "case ", "catch ", "catch(", "except ", "except:", "&&", "||", " ? ")
 #: File classes, first match wins.
-AST_EXTENSIONS = "rs ts tsx js jsx mjs cjs py go java c h cpp cc".split()
-HEURISTIC_EXTENSIONS = "pyi cxx hpp cs php rb sql kt kts swift r R f f90 f95 pas dpr m s asm pl pm vb sh bash prisma".split()
-MARKUP, STYLE, DOCS = "html htm vue svelte".split(), "css scss sass less".split(), "md mdx rst txt".split()
-MANIFESTS = "package.json cargo.toml go.mod pyproject.toml requirements.txt pom.xml composer.json gemfile pnpm-workspace.yaml lerna.json".split()
-INFRA_NAMES, INFRA_EXTENSIONS = "dockerfile docker-compose.yml docker-compose.yaml compose.yml compose.yaml makefile".split(), "yaml yml toml ini container kube pod nomad".split()
+AST_EXTENSIONS = ["rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "c", "h", "cpp", "cc"]
+HEURISTIC_EXTENSIONS = ["pyi", "cxx", "hpp", "cs", "php", "rb", "sql", "kt", "kts", "swift", "r", "R", "f", "f90", "f95", "pas", "dpr", "m", "s", "asm", "pl", "pm", "vb", "sh", "bash", "prisma"]
+MARKUP, STYLE, DOCS = ["html", "htm", "vue", "svelte"], ["css", "scss", "sass", "less"], ["md", "mdx", "rst", "txt"]
+MANIFESTS = ["package.json", "cargo.toml", "go.mod", "pyproject.toml", "requirements.txt", "pom.xml", "composer.json", "gemfile", "pnpm-workspace.yaml", "lerna.json"]
+INFRA_NAMES, INFRA_EXTENSIONS = ["dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml", "makefile"], ["yaml", "yml", "toml", "ini", "container", "kube", "pod", "nomad"]
 #: Directories of tests.
-TEST_DIRECTORIES = "tests __tests__ test testing fixtures __fixtures__ mocks __mocks__ e2e spec specs".split()
+TEST_DIRECTORIES = ["tests", "__tests__", "test", "testing", "fixtures", "__fixtures__", "mocks", "__mocks__", "e2e", "spec", "specs"]
 #: Descriptions of status codes.
 STATUS_TEXT = {200: "OK", 201: "Created", 202: "Accepted", 204: "No Content", 301: "Moved Permanently", 302: "Found", 304: "Not Modified", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 409: "Conflict", 422: "Unprocessable Entity", 429: "Too Many Requests", 500: "Internal Server Error", 503: "Service Unavailable"}
 

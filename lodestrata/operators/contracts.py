@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import extension, join_route, normalise_route, operation_id, param_type, path_params, status_text, tag_of
+from lodestrata.functions.text import STATUS_TEXT, extension, join_route, normalise_route, operation_id, param_type, path_params, status_text, tag_of
 
-#: How frameworks declare a route: extensions, pattern, group of the method, group of the route, words that show authentication.
+#: How frameworks declare a route: name, extensions, pattern, group of the method, group of the route, words that show authentication.
 ROUTES = (
-    ("express", "js jsx ts tsx mjs cjs", r"(?i)(?:router|app|fastify|server)\.(get|post|put|delete|patch|options|head)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)auth|token|jwt|session|protect|guard|requireUser|adminOnly"),
-    ("route_chain", "js jsx ts tsx mjs cjs", r"(?i)router\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)\s*\.(get|post|put|delete|patch)", 2, 1, r"(?i)auth|token|jwt|session|guard"),
-    ("nest", "ts js", r"@(Get|Post|Put|Delete|Patch)\s*\(\s*(?:['\"`]([^'\"`]*)['\"`])?\s*\)", 1, 2, r"(?i)@UseGuards|AuthGuard"),
-    ("python", "py", r"(?i)@(?:app|router|api)\.(get|post|put|delete|patch|options)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)Depends\(|Security\(|auth|token"),
-    ("go", "go", r"\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*[\"']([^\"']+)[\"']", 1, 2, r"(?i)Auth|Token|JWT|Session"),
-    ("rust_attribute", "rs", r"(?i)#\[(get|post|put|delete|patch)\s*\(\s*[\"']([^\"']+)[\"']", 1, 2, r"(?i)Auth|Token|Claims|guard"),
-    ("axum", "rs", r"(?i)\.route\s*\(\s*[\"']([^\"']+)[\"']\s*,\s*(get|post|put|delete|patch)\s*\(", 2, 1, r"(?i)Auth|Token|Claims"),
-    ("spring", "java kt", r"(?i)@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)@PreAuthorize|@Secured|Security"),
-    ("dotnet", "cs", r"(?i)\[Http(Get|Post|Put|Delete|Patch)\s*(?:\(\s*[\"']([^\"']+)[\"']\s*\))?\]", 1, 2, r"(?i)\[Authorize\]"),
-    ("laravel", "php", r"(?i)Route::(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)middleware\(['\"]auth"),
-    ("rails", "rb", r"(?i)\b(get|post|put|delete|patch)\s+['\"`](/[^'\"`]*)['\"`]", 1, 2, r"(?i)authenticate_user|before_action :authenticate"),
+    ("express", ("js", "jsx", "ts", "tsx", "mjs", "cjs"), r"(?i)(?:router|app|fastify|server)\.(get|post|put|delete|patch|options|head)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)auth|token|jwt|session|protect|guard|requireUser|adminOnly"),
+    ("route_chain", ("js", "jsx", "ts", "tsx", "mjs", "cjs"), r"(?i)router\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)\s*\.(get|post|put|delete|patch)", 2, 1, r"(?i)auth|token|jwt|session|guard"),
+    ("nest", ("ts", "js"), r"@(Get|Post|Put|Delete|Patch)\s*\(\s*(?:['\"`]([^'\"`]*)['\"`])?\s*\)", 1, 2, r"(?i)@UseGuards|AuthGuard"),
+    ("python", ("py",), r"(?i)@(?:app|router|api)\.(get|post|put|delete|patch|options)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)Depends\(|Security\(|auth|token"),
+    ("go", ("go",), r"\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*[\"']([^\"']+)[\"']", 1, 2, r"(?i)Auth|Token|JWT|Session"),
+    ("rust_attribute", ("rs",), r"(?i)#\[(get|post|put|delete|patch)\s*\(\s*[\"']([^\"']+)[\"']", 1, 2, r"(?i)Auth|Token|Claims|guard"),
+    ("axum", ("rs",), r"(?i)\.route\s*\(\s*[\"']([^\"']+)[\"']\s*,\s*(get|post|put|delete|patch)\s*\(", 2, 1, r"(?i)Auth|Token|Claims"),
+    ("spring", ("java", "kt"), r"(?i)@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)@PreAuthorize|@Secured|Security"),
+    ("dotnet", ("cs",), r"(?i)\[Http(Get|Post|Put|Delete|Patch)\s*(?:\(\s*[\"']([^\"']+)[\"']\s*\))?\]", 1, 2, r"(?i)\[Authorize\]"),
+    ("laravel", ("php",), r"(?i)Route::(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, r"(?i)middleware\(['\"]auth"),
+    ("rails_match", ("rb",), r"(?i)\bmatch\s+['\"`](/[^'\"`]*)['\"`][^\n]*?via:\s*\[?\s*:(get|post|put|delete|patch)", 2, 1, r"(?i)authenticate_user|before_action :authenticate"),
+    ("rails", ("rb",), r"(?i)\b(get|post|put|delete|patch)\s+['\"`](/[^'\"`]*)['\"`]", 1, 2, r"(?i)authenticate_user|before_action :authenticate"),
 )
 #: Characters after a route in which authentication is looked for, instead of the whole file.
 AUTH_WINDOW = {"express": 220, "python": 180}
+#: How files are mounted under a prefix, and how they are imported.
 MOUNT = r"(?:app|router|server)\.(?:use|register)\s*\(\s*['\"`](/[^'\"`]*)['\"`]\s*,\s*(\w+)"
 INCLUDE = r"include_router\s*\(\s*(\w+)(?:\.router)?\s*,\s*prefix\s*=\s*['\"`](/[^'\"`]*)['\"`]"
 IMPORTS = r"(?:import\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]|(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"])"
@@ -34,7 +37,7 @@ SUFFIXES = ("", ".ts", ".js", ".tsx", "/index.ts", "/index.js")
 def raw_routes(files: DataFrame) -> DataFrame:
     """(path, extractor, at, method, route, auth, source) of every declaration, all in SQL."""
 
-    def declared(order: int, name: str, extensions: str, pattern: str, method: int, route: int, auth: str) -> Column:
+    def declared(order: int, name: str, extensions: tuple[str, ...], pattern: str, method: int, route: int, auth: str) -> Column:
         window = AUTH_WINDOW.get(name)
         seen = pattern + (rf"(?=([\s\S]{{0,{window}}}))" if window else "()")
         every = lambda g: F.regexp_extract_all("content", F.lit(seen), F.lit(g))
@@ -42,7 +45,7 @@ def raw_routes(files: DataFrame) -> DataFrame:
         one = lambda x, i: F.struct(
             F.lit(name).alias("extractor"), F.lit(order).alias("extractor_order"), i.alias("at"), F.upper(x["m"]).alias("method"), F.coalesce(x["r"], F.lit("")).alias("route"), (F.concat_ws(" ", x["m"], x["r"], x["w"]) if window else F.col("content")).rlike(auth).alias("auth")
         )
-        return F.when(extension(F.col("path")).isin(extensions.split()), F.transform(both, one)).otherwise(F.array().cast("array<struct<extractor:string,extractor_order:int,at:int,method:string,route:string,auth:boolean>>"))
+        return F.when(extension(F.col("path")).isin(*extensions), F.transform(both, one)).otherwise(F.array().cast("array<struct<extractor:string,extractor_order:int,at:int,method:string,route:string,auth:boolean>>"))
 
     parts = [declared(i, *r) for i, r in enumerate(ROUTES)]
     rows = files.where("path is not null and content is not null").select("path", F.regexp_extract("content", r"@Controller\s*\(\s*['\"`]([^'\"`]*)['\"`]\s*\)", 1).alias("controller"), F.explode(F.concat(*parts)).alias("x")).select("path", "controller", "x.*")
@@ -70,9 +73,35 @@ def mounts(files: DataFrame) -> DataFrame:
     return hit.groupBy("by", "name", "prefix").agg(F.min_by("candidate", "rank").alias("path")).select("path", "prefix").distinct()
 
 
+def base_key(name: Column) -> Column:
+    """A name without endings that only say what it is: usersRouter, users.routes and user-routes are users, users and user."""
+    return F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[A-Za-z]+$", "")), r"[._-]|(?:routes?|router|controller|api|handlers?|module)(?=$|[._-])", "")
+
+
+def mounted(files: DataFrame) -> DataFrame:
+    """(path, prefix, how) of every file that lies under a prefix: as imported, else in a mounted directory, else by its base name.
+
+    Directories are matched by equality with each parent directory of a file, the deepest first, base names by equality, so
+    no join compares all with all.
+    """
+    exact = mounts(files).groupBy("path").agg(F.min("prefix").alias("prefix"))
+    known = files.where("path is not null and content is not null")
+    used = known.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(MOUNT), F.lit(2)).alias("n"), F.regexp_extract_all("content", F.lit(MOUNT), F.lit(1)).alias("p"))).alias("u")).select(F.col("u.n").alias("name"), F.col("u.p").alias("prefix"))
+    by_name = used.select(base_key(F.col("name")).alias("key"), "prefix").where("key <> ''").groupBy("key").agg(F.min("prefix").alias("prefix"))
+    parts = F.split("path", "/")
+    folder = F.when(F.col("path").rlike(r"/index\.[a-z]+$"), F.regexp_replace("path", r"/index\.[a-z]+$", ""))
+    roots = mounts(files).select(folder.alias("folder"), "prefix").where("folder is not null").groupBy("folder").agg(F.min("prefix").alias("prefix"))
+    parents = known.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("folder")))).alias("x")).select("path", "x.*")
+    inside = parents.join(roots, "folder").groupBy("path").agg(F.max_by("prefix", "depth").alias("prefix"))
+    named = known.select("path", base_key(F.regexp_extract("path", r"([^/]*)$", 1)).alias("key")).join(by_name, "key").select("path", "prefix")
+    every = exact.withColumn("rank", F.lit(0)).unionByName(inside.withColumn("rank", F.lit(1))).unionByName(named.withColumn("rank", F.lit(2)))
+    how = F.element_at(F.array(F.lit("import"), F.lit("directory"), F.lit("name")), F.min("rank") + 1)
+    return every.groupBy("path").agg(F.min_by("prefix", "rank").alias("prefix"), how.alias("how"))
+
+
 def endpoints(files: DataFrame) -> DataFrame:
     """(endpoint_id, method, endpoint, source_file, auth, extractor): one per method and route, the first in order."""
-    found = raw_routes(files).join(mounts(files), "path", "left")
+    found = raw_routes(files).join(mounted(files).drop("how"), "path", "left")
     full = F.when(F.col("prefix").isNotNull(), join_route(F.col("prefix"), F.col("route"))).otherwise(F.col("route"))
     return first_endpoints(found.withColumn("endpoint", full)).select("endpoint_id", "method", "endpoint", F.col("path").alias("source_file"), F.when(F.col("auth"), "Bearer / Session").otherwise("None").alias("auth"), "extractor")
 
@@ -95,6 +124,52 @@ def operations(endpoints_: DataFrame) -> DataFrame:
     return endpoints_.select(operation_id(F.col("method"), F.col("endpoint")).alias("operation_id"), "method", route.alias("route"), tag_of(F.col("endpoint")).alias("tag"), params.alias("params"))
 
 
+def openapi_document(operations_: DataFrame, details: DataFrame, title: str = "API", version: str = "1.0.0", most: int = 1000) -> dict:
+    """An OpenAPI document with bodies, responses, parameters, components and security, of at most ``most`` operations.
+
+    details: method, route, body_ref, body_fields, query_params, header_params, statuses, security, as handlers give them.
+    Every referenced component is there; one that no handler describes is an object without properties.
+    """
+    said = {(r.method, r.route): r for r in details.orderBy("method", "route").collect()}
+    document = json.loads(openapi(operations_, title, version, most))
+    components: dict[str, dict] = {}
+    secured: set[str] = set()
+    for route, methods in document["paths"].items():
+        for method, body in methods.items():
+            d = next((r for (m, known), r in said.items() if m.lower() == method and known.replace("{", ":").replace("}", "").rstrip("/") and route.replace("{", ":").replace("}", "").endswith(known.replace("{", ":").replace("}", "").rstrip("/"))), None)
+            if d is None:
+                continue
+            name = (d.body_ref or (body["operationId"][:1].upper() + body["operationId"][1:] + "Request")) if d.body_ref or d.body_fields else None
+            if name:
+                fields = d.body_fields or []
+                shape = {"type": "object", "properties": {f["name"]: {"type": f["type"], **({"format": f["format"]} if f["format"] else {})} for f in fields}}
+                needed = [f["name"] for f in fields if f["required"]]
+                if needed:
+                    shape["required"] = needed
+                if len(shape["properties"]) >= len(components.get(name, {}).get("properties", {})):
+                    components[name] = shape
+                body["requestBody"] = {"required": True, "content": {"application/json": {"schema": {"$ref": f"#/components/schemas/{name}"}}}}
+            for where, names in (("query", d.query_params), ("header", d.header_params)):
+                body.setdefault("parameters", []).extend({"name": n, "in": where, "required": False, "schema": {"type": "string"}} for n in names)
+            body["responses"] = {s: {"description": STATUS_TEXT.get(int(s), f"HTTP {s}")} for s in d.statuses if s.isdigit()} or body["responses"]
+            kinds = [s for s in d.security if s != "none"]
+            if kinds:
+                body["security"] = [{s: []} for s in kinds]
+                secured |= set(kinds)
+    schemes = {"bearerAuth": {"type": "http", "scheme": "bearer"}, "basicAuth": {"type": "http", "scheme": "basic"}, "apiKeyAuth": {"type": "apiKey", "in": "header", "name": "x-api-key"}, "oauth2": {"type": "oauth2", "flows": {}}}
+    document["components"] = {"schemas": dict(sorted(components.items())), "securitySchemes": {s: schemes[s] for s in sorted(secured)}}
+    return document
+
+
+def write_openapi(document: dict, target: str) -> str:
+    """The document as a file, put in place in one step; its path."""
+    path = Path(target)
+    temporary = path.with_name(f".{path.name}.new")
+    temporary.write_text(json.dumps(document, indent=2) + "\n")
+    temporary.replace(path)
+    return str(path)
+
+
 def openapi(operations_: DataFrame, title: str = "API", version: str = "1.0.0", most: int = 1000) -> str:
     """An OpenAPI document of at most ``most`` operations, assembled on the driver."""
     paths: dict = {}
@@ -123,21 +198,11 @@ def merged_events(events: DataFrame) -> DataFrame:
     )
 
 
-def socket_events(files: DataFrame) -> DataFrame:
-    """(event_name, direction, typed, ack, source) of imperative listeners and emitters."""
-    client = F.col("path").rlike(r"(?i)client|frontend|ui|web")
-    calls = r"\.(on|emit|once)\s*\(\s*['\"`]([\w:.-]+)['\"`]"
-    found = files.where(extension(F.col("path")).isin("js", "ts", "jsx", "tsx", "py", "go") & F.col("content").isNotNull()).select(
-        "path", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(calls), F.lit(1)).alias("c"), F.regexp_extract_all("content", F.lit(calls), F.lit(2)).alias("e"))).alias("x")
-    ).where(~F.col("x.e").isin("disconnect", "connect_error"))
-    heard = F.col("x.c") != "emit"
-    return found.select(F.col("x.e").alias("event_name"), F.when(heard == client, "S2C").otherwise("C2S").alias("direction"), F.lit(False).alias("typed"), F.lit(False).alias("ack"), F.col("path").alias("source"))
-
-
 def merged_models(models: DataFrame) -> DataFrame:
     """Data models by lower-case name: a capitalised spelling, the most fields, all flags and sources."""
+    indexes = [F.array_distinct(F.flatten(F.collect_list("indexes"))).alias("indexes")] if "indexes" in models.columns else []
     return models.groupBy(F.lower("name").alias("model_key")).agg(
-        F.min_by("name", F.struct(F.when(F.col("name").rlike("^[A-Z]"), 0).otherwise(1), "name")).alias("name"), F.max("n_fields").alias("n_fields"), F.bool_or("registered").alias("registered"), F.count("*").alias("n_sources")
+        F.min_by("name", F.struct(F.when(F.col("name").rlike("^[A-Z]"), 0).otherwise(1), "name")).alias("name"), F.max("n_fields").alias("n_fields"), F.bool_or("registered").alias("registered"), F.count("*").alias("n_sources"), *indexes
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import escape_html, node_id
@@ -92,6 +92,9 @@ def structurizr(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return body.select(F.concat(F.lit("workspace {\n  model {\n"), "b", F.lit("\n  }\n}")).alias("dsl"))
 
 
-def reachable(flag: Column) -> Column:
-    """SUCCESS, PARTIAL or NOT_FOUND of a trace by the length found."""
-    return F.when(flag.isNull(), "NOT_FOUND").otherwise("SUCCESS")
+def trace_status(edges: DataFrame, source: object, sink: object, most: int = 5) -> DataFrame:
+    """One row (status, length): SUCCESS within ``most`` steps (1 to 20), PARTIAL for a longer way, NOT_FOUND without one of 20."""
+    spark = edges.sparkSession
+    way = distances(edges, spark.createDataFrame([(source,)], f"node {dict(edges.dtypes)['src']}"), 20)
+    far = way.where(F.col("node") == F.lit(sink)).agg(F.min("distance").alias("length"))
+    return far.select(F.when(F.col("length").isNull(), "NOT_FOUND").when(F.col("length") > max(1, min(20, most)), "PARTIAL").otherwise("SUCCESS").alias("status"), "length")

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import file_name, service_role
+from lodestrata.operators.report import all_valid
 from lodestrata.runtime import ship_package
 
 #: Lock and manifest files by package manager, in order of precedence.
@@ -29,14 +30,34 @@ def package_managers(paths: DataFrame, group: str = "repo") -> DataFrame:
     return paths.select(group, rank.alias("rank")).groupBy(group).agg(F.min("rank").alias("rank")).select(group, F.coalesce(F.get(table, "rank"), F.lit("unknown")).alias("manager"))
 
 
-def project_profiles(paths: DataFrame, group: str = "repo") -> DataFrame:
-    """(group, profile): mixed, static_site, cli, workspace or unknown, by what its paths show."""
+#: Profiles that a fact may state, names of root entries, and manifests.
+PROFILES = ("static_site", "cli", "library", "service", "workspace", "mixed", "unknown")
+ROOT_ENTRY = r"^(?:main|cli)\.(?:py|ts|tsx|js|jsx|rs|go)$"
+MANIFEST = r"(?:^|/)(?:package\.json|cargo\.toml|pyproject\.toml|go\.mod|pom\.xml|build\.gradle(?:\.kts)?)$"
+
+
+def project_profiles(files: DataFrame, group: str = "repo", facts: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """(group, profile, state): what a fact with valid evidence states, else what the paths suggest.
+
+    files: group, path, excluded_reason; excluded files do not count. facts: group, fact_id, kind, profile, evidence_ids. A
+    profile from paths is a hypothesis.
+    """
     p = F.lower("path")
-    seen = paths.groupBy(group).agg(
-        F.bool_or(p.rlike(r"\.(?:html|htm)$")).alias("pages"), F.bool_or(p.rlike(r"(?:^|/)(?:main|cli|__main__)\.\w+$|(?:^|/)(?:bin|cmd)/")).alias("commands"),
-        F.bool_or(p.rlike(r"(?:^|/)(?:packages|crates|apps|modules)/|(?:^|/)(?:pnpm-workspace\.yaml|lerna\.json)$")).alias("parts"), F.bool_or(p.rlike(r"\.(?:py|js|ts|rs|go|java|rb|php|cs|c)$")).alias("code"),
+    has = lambda pattern: F.coalesce(F.bool_or(p.rlike(pattern)), F.lit(False))
+    seen = files.groupBy(group).agg(F.max(F.lit(1))).select(group).join(
+        files.where("excluded_reason is null").groupBy(group).agg(
+            has(r"\.html$|(?:^|/)index\.htm$").alias("pages"), has(r"\.css$").alias("styles"), has(r"\.js$").alias("scripts"), has(r"(?:^|/)(?:vite|webpack|next|astro)\.config\.").alias("bundler"),
+            has(r"\.(?:py|ts|tsx|js|jsx|rs|go|java|cs|cpp|c)$").alias("code"), has(ROOT_ENTRY).alias("entry"), F.coalesce(F.bool_or(p.rlike(MANIFEST) & p.contains("/")), F.lit(False)).alias("nested"),
+        ), group, "left",
     )
-    return seen.select(group, F.when(F.col("pages") & F.col("code") & F.col("commands"), "mixed").when(F.col("pages") & ~F.col("commands"), "static_site").when(F.col("commands") & ~F.col("parts"), "cli").when(F.col("parts"), "workspace").otherwise("unknown").alias("profile"))
+    web = F.col("pages") | F.col("styles") | F.col("bundler")
+    guess = F.when(web & F.col("code") & F.col("entry"), "mixed").when(F.col("pages") & (F.col("styles") | F.col("scripts")), "static_site").when(F.col("entry"), "cli").when(F.col("nested"), "workspace").otherwise("unknown")
+    out = seen.select(group, guess.alias("profile"))
+    if facts is None or evidence is None:
+        return out.withColumn("state", F.when(F.col("profile") == "unknown", "unknown").otherwise("hypothesis"))
+    stated = all_valid(facts.where(F.lower("kind") == "project_profile"), "fact_id", evidence).groupBy(group).agg(F.min_by("profile", "fact_id").alias("stated"))
+    sure = F.col("stated").isin(*PROFILES)
+    return out.join(stated, group, "left").select(group, F.when(sure, F.col("stated")).otherwise(F.col("profile")).alias("profile"), F.when(sure, "confirmed").when(F.col("profile") == "unknown", "unknown").otherwise("hypothesis").alias("state"))
 
 
 def dependencies(packages: DataFrame) -> DataFrame:
@@ -149,7 +170,3 @@ def primary_orchestration(services_: DataFrame) -> DataFrame:
 
 def role_groups(services_: DataFrame) -> DataFrame:
     return services_.groupBy("role").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("service")).alias("services"))
-
-
-def any_of(flag: Column) -> Column:
-    return F.coalesce(F.bool_or(flag), F.lit(False))

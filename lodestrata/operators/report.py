@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 COVERAGE = ("partial", "not_scanned", "unsupported", "complete")
 MAP_KINDS = {"infrastructure": r"infrastructure|container|deployment", "entrypoints": r"entry.?point", "imports": r"import|depends_on|dependency", "code": r"function|method|class|interface|struct|symbol"}
 MAP_RELATIONS = {"infrastructure": r"infra|container|deploy|configures", "imports": r"import|depends_on|dependency", "code": r"calls|call|data.flow"}
-ORPHAN_EXEMPT = "main start init index run handler".split()
-LOW_CONFIDENCE = "room: rtc: sfu: webrtc: screenshare: presence: notification:".split()
+ORPHAN_EXEMPT = ("main", "start", "init", "index", "run", "handler")
+LOW_CONFIDENCE = ("room:", "rtc:", "sfu:", "webrtc:", "screenshare:", "presence:", "notification:")
+#: Fixed value: the event of the connection itself, which nobody emits.
+NEVER_DEAD = "connection"
 
 
 def combined_coverage(parts: DataFrame, group: str) -> DataFrame:
@@ -44,6 +46,51 @@ def relation_view(relations: DataFrame, evidence: DataFrame, kind: str | None =
     return wanted.join(valid, "relation_id", "left").select("relation_id", "from_id", "to_id", "kind", F.when(sure, "confirmed").otherwise("hypothesis").alias("standing"))
 
 
+def all_valid(df: DataFrame, key: str, evidence: DataFrame) -> DataFrame:
+    """Rows that have evidence and of whose evidence every id exists; for maps some is enough, for reports it is not."""
+    ids = df.select(key, F.explode("evidence_ids").alias("evidence_id")).distinct()
+    known = evidence.select("evidence_id").distinct().withColumn("known", F.lit(True))
+    whole = ids.join(known, "evidence_id", "left").groupBy(key).agg(F.min(F.coalesce("known", F.lit(False))).alias("whole")).where("whole").select(key)
+    return df.join(whole, key, "left_semi")
+
+
+def merged_diagnostics(diagnostics: DataFrame, group: str) -> DataFrame:
+    """(group, code, path, message): one diagnostic per code and path, the last one in order."""
+    return diagnostics.groupBy(group, "code", "path").agg(F.max_by("message", "at").alias("message"))
+
+
+def architecture_map(kind: str, root: str, scan_id: str, files: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations) of a map: context, structure, infrastructure, entrypoints, imports or code.
+
+    nodes: id, label, kind, state, evidence_ids. Excluded files are in none. The context is the repository alone.
+    """
+    spark = files.sparkSession
+    none = F.array().cast("array<string>")
+    there = files.where("excluded_reason is null")
+
+    def of_files(df: DataFrame) -> DataFrame:
+        return file_nodes(df, evidence).select(F.concat(F.lit("file:"), "path").alias("id"), F.col("path").alias("label"), F.lit("file").alias("kind"), F.lit("inventory").alias("state"), "evidence_ids")
+
+    def of_facts() -> DataFrame:
+        known = fact_nodes(facts, evidence, kind)
+        valid = facts.select("fact_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id").distinct(), "evidence_id", "left_semi").groupBy("fact_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids"))
+        return known.join(valid, "fact_id").select(F.col("fact_id").alias("id"), "label", "kind", F.lit("confirmed").alias("state"), "evidence_ids")
+
+    if kind == "context":
+        label = [p for p in root.replace("\\", "/").split("/") if p][-1:] or [root]
+        nodes = spark.range(1).select(F.lit(f"repository:{root}").alias("id"), F.lit(label[0]).alias("label"), F.lit("repository").alias("kind"), F.lit("inventory").alias("state"), none.alias("evidence_ids"))
+    elif kind in ("structure", "imports"):
+        nodes = of_files(there)
+    elif kind == "infrastructure":
+        nodes = of_files(there.where("category = 'infra'")).unionByName(of_facts())
+    elif kind in ("entrypoints", "code"):
+        nodes = of_facts()
+    else:
+        raise ValueError(f"INVALID_MAP: {kind}")
+    edges = relation_view(relations, evidence, kind) if kind in MAP_RELATIONS else relation_view(relations.limit(0), evidence)
+    return nodes.orderBy("id"), edges.orderBy("relation_id")
+
+
 def map_status(nodes: Column, complete: Column) -> Column:
     return F.when(nodes == 0, "UNSUPPORTED").when(complete, "SUCCESS").otherwise("PARTIAL")
 
@@ -62,11 +109,33 @@ def event_confidence(name: Column) -> Column:
 def dead_and_undeclared(typed: DataFrame, used: DataFrame) -> DataFrame:
     """(event_name, finding, confidence): declared and never used, used and never declared."""
     t, u = typed.select("event_name").distinct(), used.select("event_name").distinct()
-    dead = t.join(u, "event_name", "left_anti").withColumn("finding", F.lit("dead"))
+    dead = t.where(F.col("event_name") != NEVER_DEAD).join(u, "event_name", "left_anti").withColumn("finding", F.lit("dead"))
     bare = u.join(t, "event_name", "left_anti").withColumn("finding", F.lit("undeclared"))
     return dead.unionByName(bare).withColumn("confidence", event_confidence(F.col("event_name")))
 
 
+def honesty_report(typed: DataFrame, used: DataFrame, facts: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(type, name, source_file, confidence): dead and undeclared events and orphan functions.
+
+    typed, used: event_name, source_file. Orphans are the functions and methods with nothing but valid evidence
+    that no resolved relation with nothing but valid evidence leads to.
+    """
+    from lodestrata.operators.resolve import orphans
+
+    place = typed.select("event_name", "source_file").unionByName(used.select("event_name", "source_file")).groupBy("event_name").agg(F.min("source_file").alias("source_file"))
+    kind = F.when(F.col("finding") == "dead", "DEAD_DECLARED_EVENT").otherwise("UNDECLARED_EVENT")
+    events = dead_and_undeclared(typed, used).join(place, "event_name").select(kind.alias("type"), F.col("event_name").alias("name"), "source_file", F.when(F.col("finding") == "dead", F.col("confidence")).alias("confidence"))
+    lost = orphans(facts, relations, evidence).select(F.lit("ORPHAN_SYMBOL").alias("type"), "name", F.col("path").alias("source_file"), F.lit(None).cast("string").alias("confidence"))
+    return events.unionByName(lost)
+
+
+def honesty_summary(findings: DataFrame) -> DataFrame:
+    """(type, n) with a row for every type, and the total as candidates."""
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("DEAD_DECLARED_EVENT", "UNDECLARED_EVENT", "ORPHAN_SYMBOL", "CANDIDATES"))))
+    all_ = findings.select(F.explode(F.array(F.col("type"), F.lit("CANDIDATES"))).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return findings.sparkSession.range(1).select(kinds.alias("type")).join(all_, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def precision_recall(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """One row: precision and recall of distinct keys; 1 where there is nothing to find or to err on."""
     both = found.select(*keys, F.lit(1).alias("f"), F.lit(0).alias("e")).unionByName(expected.select(*keys, F.lit(0).alias("f"), F.lit(1).alias("e")))
@@ -75,17 +144,19 @@ def precision_recall(found: DataFrame, expected: DataFrame, keys: list[str]) ->
 
 
 def decision_record(number: int, title: str, context: str, decision: str, consequences: str) -> str:
-    return f"# ADR {number:03d}: {title}\n\n## Status\n\nProposed\n\n## Context\n\n{context}\n\n## Decision\n\n{decision}\n\n## Consequences\n\n{consequences}\n"
+    return f"# ADR {number:03d}: {title}\n\n## Status\n\nAccepted\n\n## Context\n\n{context}\n\n## Decision\n\n{decision}\n\n## Consequences\n\n{consequences}\n"
 
 
 def documentation(tables: dict[str, DataFrame], most: int = 200) -> dict[str, str]:
-    """Markdown pages, one per table, of at most ``most`` rows each, in order."""
+    """Markdown pages, one per table, of at most ``most`` rows each, in order; a page that stops says how many rows there are."""
     pages = {}
     for name, df in sorted(tables.items()):
-        rows = df.orderBy(*df.columns).limit(most).collect()
+        rows = df.orderBy(*df.columns).limit(most + 1).collect()
+        stopped = f"\n{most} of {df.count()} rows.\n" if len(rows) > most else ""
+        rows = rows[:most]
         cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
         body = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
-        pages[f"{name}.md"] = f"# {name.replace('_', ' ').capitalize()}\n\n" + "\n".join(body) + "\n"
+        pages[f"{name}.md"] = f"# {name.replace('_', ' ').capitalize()}\n\n" + "\n".join(body) + "\n" + stopped
     return pages
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import scope_of
+from lodestrata.operators.report import ORPHAN_EXEMPT, all_valid
 
 OCCURRENCE_FIELDS = ("caller_fqsn", "callee_name", "callee_expression", "edge_kind", "line_start", "column_start", "line_end", "column_end", "content_sha256")
 
@@ -64,13 +65,20 @@ def relations(resolved: DataFrame, generation: DataFrame) -> DataFrame:
     )
 
 
-def orphans(symbols: DataFrame, relations_: DataFrame) -> DataFrame:
-    """Functions nothing refers to, names of entry points apart."""
-    called = relations_.where("to_id is not null").select(F.col("to_id").alias("fqsn")).distinct()
-    return symbols.where(~F.lower("name").isin("main", "start", "init", "index", "run", "handler")).join(called, "fqsn", "left_anti")
+def orphans(facts: DataFrame, relations_: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Functions and methods that no relation leads to, names of entry points apart.
+
+    facts: fact_id, kind, name, evidence_ids and further columns; relations: relation_id, to_id, resolution, evidence_ids. A fact or
+    relation counts only with evidence of which every id exists.
+    """
+    sure = relations_.where("resolution = 'resolved' and to_id is not null")
+    called = all_valid(sure, "relation_id", evidence).select(F.col("to_id").alias("fact_id")).distinct()
+    functions = facts.where(F.lower("kind").isin("function", "method") & ~F.lower("name").isin(*ORPHAN_EXEMPT))
+    return all_valid(functions, "fact_id", evidence).join(called, "fact_id", "left_anti")
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key in a total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def path_relations(path: DataFrame, relations_: DataFrame) -> DataFrame:
+    """(position, from_id, to_id, relation_id) of the steps of a traced path: the first relation by id between neighbours."""
+    ahead = path.select((F.col("position") - 1).alias("position"), F.col("node").alias("to_id"))
+    steps = path.select("position", F.col("node").alias("from_id")).join(ahead, "position")
+    return steps.join(relations_.select("relation_id", "from_id", "to_id"), ["from_id", "to_id"], "left").groupBy("position", "from_id", "to_id").agg(F.min("relation_id").alias("relation_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import contracts, generations, graph, infra, parsing, report, resolve
-from lodestrata.runtime import table, ship_package
+from lodestrata.runtime import table
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,8 @@ def paging_byte_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_digest(spark: SparkSession, d: str) -> DataFrame:
-    return generations.catalog_digest(table(spark, d, "nation").select("n_name", "n_nationkey"))
+    """Digest of the catalogue of all orders."""
+    return generations.catalog_digest(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
 
 
 def publish_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -101,10 +102,15 @@ def relation_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Functions that no resolved relation leads to, per file extension."""
+    """Functions and methods that no resolved relation leads to, with parser results as evidence, per file extension."""
     s, calls = _calls(spark, d)
-    rel = resolve.relations(resolve.nearest_scope(calls, s), s)
-    return resolve.orphans(s, rel).groupBy(F.regexp_extract("file_path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n_orphans"))
+    kinds = table(spark, d, "symbols").where("fqsn is not null").groupBy("fqsn").agg(F.min(F.lower("kind")).alias("kind"))
+    evidence = table(spark, d, "parse_outputs").select(F.col("file_id").cast("string").alias("evidence_id")).distinct()
+    ids = F.array(F.col("file_id").cast("string")).alias("evidence_ids")
+    facts = s.join(kinds, "fqsn").select(F.col("fqsn").alias("fact_id"), "kind", "name", "file_path", ids)
+    callers = calls.join(s.select(F.col("fqsn").alias("caller_fqsn"), "file_id"), "caller_fqsn").select("occurrence_id", ids)
+    rel = resolve.relations(resolve.nearest_scope(calls, s), s).join(callers, "occurrence_id")
+    return resolve.orphans(facts, rel, evidence).groupBy(F.regexp_extract("file_path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n_orphans"))
 
 
 def degree_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -230,12 +236,8 @@ def symbols_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Calls in Python files by kind and whether their name resolves in the nearest scope."""
-    ship_package(spark)
-    files = table(spark, d, "files").where("path like '%.py'")
-    symbols, calls, _ = parsing.parse_files(files)
-    occurrences = calls.select(resolve.occurrence_id([F.col(c) for c in ("caller_fqsn", "callee_name", "callee_expression", "line", "column")]).alias("occurrence_id"), "caller_fqsn", "callee_name", "edge_kind", (F.col("edge_kind") == "direct_call").alias("direct"), "shadowed")
-    return resolve.nearest_scope(occurrences, symbols).join(occurrences.select("occurrence_id", "edge_kind").distinct(), "occurrence_id").groupBy("edge_kind", "resolution").agg(F.count("*").alias("n"))
+    """Calls of all files by kind, and how many are shadowed."""
+    return parsing.parse_files(table(spark, d, "files"))[1].groupBy("edge_kind").agg(F.count("*").alias("n"), F.count_if("shadowed").alias("n_shadowed"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
@@ -262,13 +264,15 @@ ORACLES = {
     "paging_byte_cap": """WITH p AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200),
   b AS (SELECT o_orderkey, strlen('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS json_bytes FROM p),
   t AS (SELECT o_orderkey, cast(json_bytes AS INT) AS json_bytes, cast(sum(json_bytes) OVER (ORDER BY o_orderkey) AS BIGINT) AS total_bytes FROM b) SELECT * FROM t WHERE total_bytes <= 4000""",
-    "catalog_digest": """SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation)""",
+    "catalog_digest": "WITH h AS (SELECT sha256('{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS h FROM orders) SELECT count(*) AS n, sha256(count(*) || ':' || " + " || ':' || ".join(f"cast(sum(cast('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + ") AS digest FROM h",
     "publish_edges": "SELECT s_name, p_brand, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "nearest_scope": f"WITH {_CALLS} SELECT occurrence_id, {_LABEL} AS resolution, array_to_string(c, '|') AS candidates FROM res",
     "name_unique_edges": f"WITH {_CALLS}, u AS (SELECT file_path, name AS callee_name, min(fqsn) AS callee FROM s GROUP BY 1, 2 HAVING count(DISTINCT fqsn) = 1) SELECT caller, callee, 'calls' AS edge_kind, cast(count(*) AS DOUBLE) AS weight FROM o JOIN u USING (file_path, callee_name) GROUP BY 1, 2",
     "semi_evidence": "WITH i AS (SELECT DISTINCT path, lower(content_sha256) AS h FROM inventory_files WHERE content_sha256 IS NOT NULL) SELECT repo, count(*) AS n_confirmed FROM (SELECT DISTINCT repo, path, lower(content_sha256) AS h FROM parse_outputs WHERE content_sha256 IS NOT NULL) WHERE (path, h) IN (SELECT (path, h) FROM i) GROUP BY repo",
     "relation_targets": f"WITH {_CALLS}, x AS (SELECT occurrence_id, unnest(c) AS fqsn FROM res), k AS (SELECT occurrence_id, count(*) AS n FROM x WHERE fqsn IN (SELECT fqsn FROM generation_symbols) GROUP BY 1), m AS (SELECT occurrence_id, coalesce(n, 0) AS n FROM res LEFT JOIN k USING (occurrence_id)) SELECT CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, count(*) AS n, count(*) FILTER (n = 1) AS n_targets FROM (SELECT n FROM m) GROUP BY 1",
-    "orphan_symbols": f"WITH {_CALLS}, t AS (SELECT DISTINCT c[1] AS fqsn FROM res WHERE len(c) = 1) SELECT regexp_extract(file_path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n_orphans FROM s WHERE lower(name) NOT IN ('main', 'start', 'init', 'index', 'run', 'handler') AND fqsn NOT IN (SELECT fqsn FROM t) GROUP BY 1",
+    "orphan_symbols": f"""WITH {_CALLS}, e AS (SELECT DISTINCT file_id FROM parse_outputs WHERE file_id IS NOT NULL), k AS (SELECT fqsn, min(lower(kind)) AS kind, min(file_id) AS file_id FROM symbols WHERE fqsn IS NOT NULL AND name IS NOT NULL GROUP BY fqsn),
+  t AS (SELECT DISTINCT c[1] AS fqsn FROM res JOIN o USING (occurrence_id) JOIN k ON k.fqsn = o.caller WHERE len(c) = 1 AND k.file_id IN (FROM e))
+SELECT regexp_extract(file_path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n_orphans FROM s JOIN k USING (fqsn) WHERE k.kind IN ('function', 'method') AND k.file_id IN (FROM e) AND lower(name) NOT IN ('main', 'start', 'init', 'index', 'run', 'handler') AND fqsn NOT IN (SELECT fqsn FROM t) GROUP BY 1""",
     "degree_topk": f"{_TOP} SELECT node, degree FROM n",
     "pruned_graph": f"{_TOP} SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)",
     "bfs_distances": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, unnest([(n_nationkey + 3) % 25, (n_nationkey + 7) % 25]) AS dst FROM nation), w(node, distance) AS (SELECT dst, 1 FROM e WHERE src = 0 UNION SELECT e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.node WHERE w.distance < 4) SELECT node, min(distance) AS distance FROM w GROUP BY node",
@@ -285,9 +289,12 @@ SELECT 'flowchart LR' || chr(10) || string_agg(CASE WHEN part = 0 THEN '  n_' ||
     "run_diagnostics": """SELECT x.stage AS stage, x.code AS code, count(DISTINCT scan_id) AS n_runs FROM (SELECT scan_id, unnest(from_json(diagnostics_json, '[{"stage":"VARCHAR","code":"VARCHAR","message":"VARCHAR"}]')) AS x FROM scan_runs) GROUP BY 1, 2""",
     "json_attributes": "SELECT event_type, cast(sum(cast(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS sum_k, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY event_type",
     "symbol_lookup": "SELECT name, count(DISTINCT fqsn) AS n, CASE count(DISTINCT fqsn) WHEN 1 THEN 'SUCCESS' ELSE 'AMBIGUOUS' END AS status FROM symbols WHERE name IS NOT NULL AND fqsn IS NOT NULL GROUP BY name",
-    "project_profiles": r"""WITH s AS (SELECT repo, bool_or(regexp_matches(lower(path), '\.(html|htm)$')) AS pages, bool_or(regexp_matches(lower(path), '(^|/)(main|cli|__main__)\.\w+$|(^|/)(bin|cmd)/')) AS commands,
-  bool_or(regexp_matches(lower(path), '(^|/)(packages|crates|apps|modules)/|(^|/)(pnpm-workspace\.yaml|lerna\.json)$')) AS parts, bool_or(regexp_matches(lower(path), '\.(py|js|ts|rs|go|java|rb|php|cs|c)$')) AS code FROM inventory_files GROUP BY repo)
-SELECT repo, CASE WHEN pages AND code AND commands THEN 'mixed' WHEN pages AND NOT commands THEN 'static_site' WHEN commands AND NOT parts THEN 'cli' WHEN parts THEN 'workspace' ELSE 'unknown' END AS profile FROM s""",
+    "project_profiles": r"""WITH p AS (SELECT repo, CASE WHEN excluded_reason IS NULL THEN lower(path) END AS p FROM inventory_files),
+  s AS (SELECT repo, coalesce(bool_or(p LIKE '%.html' OR regexp_matches(p, '(^|/)index\.html?$')), false) AS html, coalesce(bool_or(p LIKE '%.css'), false) AS css, coalesce(bool_or(p LIKE '%.js'), false) AS js,
+    coalesce(bool_or(regexp_matches(p, '(^|/)(vite|webpack|next|astro)\.config\.')), false) AS conf, coalesce(bool_or(regexp_matches(p, '\.(py|ts|tsx|js|jsx|rs|go|java|cs|cpp|c)$')), false) AS code,
+    coalesce(bool_or(regexp_matches(p, '^(main|cli)\.(py|ts|tsx|js|jsx|rs|go)$')), false) AS main, coalesce(bool_or(contains(p, '/') AND regexp_matches(p, '(^|/)(package\.json|cargo\.toml|pyproject\.toml|go\.mod|pom\.xml|build\.gradle(\.kts)?)$')), false) AS nested FROM p GROUP BY repo),
+  k AS (SELECT repo, CASE WHEN (html OR css OR conf) AND code AND main THEN 'mixed' WHEN html AND (css OR js) THEN 'static_site' WHEN main THEN 'cli' WHEN nested THEN 'workspace' ELSE 'unknown' END AS profile FROM s)
+SELECT repo, profile, CASE WHEN profile = 'unknown' THEN 'unknown' ELSE 'hypothesis' END AS state FROM k""",
     "package_dependencies": "WITH p AS (SELECT DISTINCT c_mktsegment AS package FROM customer), x AS (SELECT package, unnest([lower(package), 'BUILDING', 'x' || package]) AS dep FROM p) SELECT p.package, coalesce(string_agg(DISTINCT dep, ',' ORDER BY dep) FILTER (dep IN (SELECT package FROM p)), '') AS internal FROM p LEFT JOIN x ON x.package = p.package GROUP BY p.package",
     "socket_event_merge": "WITH e AS (SELECT event_type AS event_name, CASE WHEN user_id % 2 = 0 OR event_type = 'view' THEN 'S2C' ELSE 'C2S' END AS direction, value > 50 AS typed, user_id % 7 = 0 AS ack, lpad(cast(user_id % 97 AS VARCHAR), 2, '0') AS source FROM events) SELECT event_name, CASE WHEN count(DISTINCT direction) > 1 THEN 'BIDIRECTIONAL' ELSE min(direction) END AS direction, bool_or(typed) AS is_typed, bool_or(ack) AS acknowledged, min(source) AS source_file, count(*) AS n FROM e GROUP BY event_name",
     "dead_and_undeclared": "WITH t AS (SELECT DISTINCT name FROM symbols WHERE lower(kind) = 'method' AND name IS NOT NULL), u AS (SELECT DISTINCT name FROM symbols WHERE lower(kind) = 'function' AND name IS NOT NULL) SELECT name AS event_name, 'dead' AS finding, 'high' AS confidence FROM t WHERE name NOT IN (SELECT name FROM u) UNION ALL SELECT name, 'undeclared', 'high' FROM u WHERE name NOT IN (SELECT name FROM t)",

@@ -29,7 +29,7 @@ def pii_checksums(spark: SparkSession, d: str) -> DataFrame:
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text holds personal data, redacted, with the number of redactions."""
     docs = sanitize.redact(table(spark, d, "documents").select("doc_id", "text"), "text", "redacted")
-    return docs.select("doc_id", "redacted", sanitize.redaction_count(F.col("redacted")).alias("redaction_count"))
+    return docs.select("doc_id", "redacted", sanitize.redaction_count(F.col("redacted")).alias("redaction_count")).where("redaction_count > 0")
 
 
 def correlation_hash(spark: SparkSession, d: str) -> DataFrame:

@@ -133,6 +133,26 @@ def differences(table: np.ndarray, key: np.ndarray, value: np.ndarray, sign: np.
     return a, b, c, d
 
 
+def told_apart(kh: np.ndarray, keys: pa.ChunkedArray) -> np.ndarray:
+    """Key hashes such that different keys of a task never share one.
+
+    All rows of a hash lie in one task, so equal hashes of different spellings are seen here; all but one of the spellings
+    get other hashes, the same for every row of the spelling.
+    """
+    code = keys.dictionary_encode().unify_dictionaries()
+    codes = np.concatenate([np.asarray(c.indices) for c in code.chunks]).astype(np.int64) if code.num_chunks else np.zeros(0, np.int64)
+    first = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.uint64)
+    first[codes] = kh
+    for seed in range(64):
+        order = np.argsort(first, kind="stable")
+        again = np.zeros(len(first), bool)
+        again[order[1:]] = first[order[1:]] == first[order[:-1]]
+        if not again.any():
+            return first[codes]
+        first[again] = _mix(first[again] ^ np.flatnonzero(again).astype(np.uint64), 307 + seed)
+    raise ArithmeticError("keys could not be told apart")
+
+
 def _bucket_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of the buckets of one task to their differences."""
     got = [b for b in batches if b.num_rows]
@@ -145,6 +165,7 @@ def _bucket_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scan = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     entity = np.asarray(rows["is_file"]).astype(np.int64)
     kh, vh = (np.asarray(rows[c]).astype(np.int64).view(np.uint64) for c in ("kh", "vh"))
+    kh = told_apart(kh, rows["item_key"])
     known = np.asarray(rows["known"])
     loaded = np.asarray(rows["loaded"]).astype(np.int64)
     group = scan * 2 + entity

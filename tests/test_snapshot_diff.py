@@ -52,3 +52,22 @@ def test_cases(spark):
 def test_empty(spark):
     empty = [spark.createDataFrame([], s) for s in (RUNS, INV, SYM)]
     assert snapshot_changes(*empty).count() == 0
+
+
+def test_keys_of_equal_hash_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrata.operators.snapshot_diff import _bucket_task, told_apart
+
+    keys = pa.chunked_array([["a", "b", "a"], ["c", "b"]])
+    got = told_apart(np.array([7, 7, 7, 7, 7], np.uint64), keys)
+    assert got[0] == got[2] and got[1] == got[4] and len(set(got.tolist())) == 3
+    # a stays, b is new and c is gone although all three have one hash.
+    rows = [("s1", True, "s2", "a", 1), ("s2", False, None, "a", 1), ("s1", True, "s2", "c", 5), ("s2", False, None, "b", 6)]
+    batch = pa.RecordBatch.from_pydict({
+        "scan": [r[0] for r in rows], "is_first": [r[1] for r in rows], "next_scan": pa.array([r[2] for r in rows], pa.string()), "is_file": [True] * 4, "item_key": [r[3] for r in rows],
+        "loaded": [0] * 4, "kh": [7] * 4, "known": [True] * 4, "vh": [r[4] for r in rows],
+    })
+    out = pa.Table.from_batches(_bucket_task(iter([batch]))).to_pylist()
+    assert {(r["item_key"], r["change"], r["scan_id"]) for r in out} == {("b", "added", "s2"), ("c", "removed", "s2")}

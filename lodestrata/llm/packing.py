@@ -154,3 +154,11 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / capacity).alias("least"), F.max("used").alias("fullest"),
         F.round(1 - F.sum("used") / (F.count("*") * capacity), 6).alias("empty_share"),
     )
+
+
+def invariants(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: texts placed, pieces placed twice or missing, containers over their capacity, texts split without need."""
+    per_text = packed.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("different"), F.max("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    texts = per_text.agg(F.count("*").alias("n_texts"), F.count_if((F.col("k") != F.col("pieces")) | (F.col("different") != F.col("pieces"))).alias("n_wrong"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("n_split"))
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("n_over"))
+    return texts.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")

@@ -64,6 +64,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, sf_dir))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That every text is there once and no container is over its capacity."""
+    return packing.invariants(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and the documents that hold at least half of them."""
     return p7_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
@@ -84,5 +89,7 @@ def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_subjects": p8_subjects}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_diagnosed": p4_diagnosed, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_invariants": p6_invariants, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_subjects": p8_subjects}
+ORACLES: dict[str, str] = {
+    "p6_invariants": r"SELECT count(DISTINCT doc_id) AS n_texts, 0 AS n_wrong, 0 AS n_split, 0 AS n_over FROM documents WHERE regexp_matches(text, '[^\s]')",
+}

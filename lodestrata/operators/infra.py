@@ -106,6 +106,30 @@ def make_targets(files: DataFrame) -> DataFrame:
     return files.where(mine & F.col("content").isNotNull()).select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^([A-Za-z0-9_-]+)\s*:(?!=)"), F.lit(1)))).alias("target"))
 
 
+def environment_keys(files: DataFrame) -> DataFrame:
+    """(path, key) of the variables that examples of environment files name; values are not read."""
+    mine = F.lower(file_name(F.col("path"))).rlike(r"^\.env\.(?:example|sample|template|dist)$")
+    keys = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \t]*="), F.lit(1)))
+    return files.where(mine & F.col("content").isNotNull()).select("path", F.explode(keys).alias("key"))
+
+
+#: What a package manager is told to do, by manager, where no manifest names commands of its own.
+COMMANDS = {
+    "cargo": {"build": "cargo build", "test": "cargo test"}, "go": {"build": "go build ./...", "test": "go test ./..."}, "maven": {"build": "mvn package", "test": "mvn test"}, "gradle": {"build": "gradle build", "test": "gradle test"},
+    "dotnet": {"build": "dotnet build", "test": "dotnet test"}, "poetry": {"test": "poetry run pytest"}, "pip": {"test": "python -m pytest"},
+}
+
+
+def commands(files: DataFrame, managers: DataFrame, group: str = "repo") -> DataFrame:
+    """(group, name, command): scripts of package.json run by the manager of the repository, else what the manager is told."""
+    scripts = F.from_json(F.get_json_object("content", "$.scripts"), "map<string,string>")
+    named = files.where((F.lower(file_name(F.col("path"))) == "package.json") & F.col("content").isNotNull()).select(group, F.explode(F.map_keys(scripts)).alias("name")).distinct()
+    js = named.join(managers.where(F.col("manager").isin("npm", "pnpm", "yarn", "bun")), group).select(group, "name", F.concat("manager", F.lit(" run "), "name").alias("command"))
+    table = F.create_map(*(F.lit(x) for m, c in COMMANDS.items() for x in (m, json.dumps(c))))
+    usual = managers.where(F.col("manager").isin(*COMMANDS)).select(group, F.explode(F.from_json(F.try_element_at(table, F.col("manager")), "map<string,string>")).alias("name", "command"))
+    return js.unionByName(usual)
+
+
 def read_services(path: str, content: str) -> list[tuple]:
     """Services of compose files, quadlets, manifests of clusters and container files."""
     name = path.rsplit("/", 1)[-1].lower()
@@ -139,6 +163,15 @@ def read_services(path: str, content: str) -> list[tuple]:
         return [(path, name.rsplit(".", 1)[0], (re.findall(r"^Image=(.+)$", content, re.M) or [None])[0], re.findall(r"^PublishPort=(.+)$", content, re.M), re.findall(r"^Environment=(\w+)", content, re.M), "podman-quadlet")]
     if name in ("dockerfile", "containerfile") or name.startswith("dockerfile."):
         return [(path, name, (re.findall(r"(?mi)^FROM\s+(\S+)", content) or [None])[-1], re.findall(r"(?mi)^EXPOSE\s+(\S+)", content), re.findall(r"(?mi)^ENV\s+(\w+)", content), "containerfile" if name == "containerfile" else "dockerfile")]
+    if name in ("devcontainer.json", ".devcontainer.json"):
+        # Comments and trailing commas are allowed there.
+        bare = re.sub(r",(\s*[}\]])", r"\1", re.sub(r"(?m)^\s*//.*$", "", content))
+        try:
+            d = json.loads(bare)
+        except ValueError:
+            return []
+        env = {**(d.get("containerEnv") or {}), **(d.get("remoteEnv") or {})} if isinstance(d, dict) else {}
+        return [(path, d.get("name") or "devcontainer", d.get("image"), [str(p) for p in d.get("forwardPorts") or []], sorted(env), "devcontainer")] if isinstance(d, dict) else []
     if name in ("chart.yaml", "values.yaml"):
         return [(path, (re.findall(r"^name:\s*(\S+)", content, re.M) or [name])[0], None, [], [], "helm")]
     if name.endswith((".yaml", ".yml")) and re.search(r"^kind:\s*(?:Deployment|StatefulSet|DaemonSet|Pod|Job|CronJob|Service)\b", content, re.M):
@@ -158,7 +191,7 @@ def services(files: DataFrame) -> DataFrame:
             rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in read_services(p, c)]
             yield pd.DataFrame(rows, columns=["path", "service", "image", "ports", "env_keys", "pattern"])
 
-    mine = F.lower(file_name(F.col("path"))).rlike(r"\.(?:ya?ml|container|kube|pod|nomad)$|^(?:docker|container)file")
+    mine = F.lower(file_name(F.col("path"))).rlike(r"\.(?:ya?ml|container|kube|pod|nomad)$|^(?:docker|container)file|^\.?devcontainer\.json$")
     found = files.where(mine & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, SERVICE)
     return found.withColumn("role", service_role(F.coalesce("image", "service")))
 

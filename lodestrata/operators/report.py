@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -160,12 +161,46 @@ def documentation(tables: dict[str, DataFrame], most: int = 200) -> dict[str, st
     return pages
 
 
+def _recovered(root: Path) -> dict[str, str]:
+    """What the last export owns. One that was cut short left a journal of the pages it was about to write; those of them that are
+    there as announced are owned too."""
+    record, journal = root / ".manifest.json", root / ".journal.json"
+    owned = json.loads(record.read_text()) if record.exists() else {}
+    if journal.exists():
+        for name, digest in json.loads(journal.read_text()).items():
+            p = root / name
+            if p.exists() and hashlib.sha256(p.read_bytes()).hexdigest() == digest:
+                owned[name] = digest
+        for left in root.glob(".*.new"):
+            left.unlink()
+        record.write_text(json.dumps(owned))
+        journal.unlink()
+    return owned
+
+
 def export(pages: dict[str, str], target: str) -> dict[str, list[str]]:
-    """Write pages, keep what others changed, remove own pages that are gone; what was done, by outcome."""
+    """Write pages, keep what others changed, remove own pages that are gone; what was done, by outcome.
+
+    One export at a time: a second one is refused with EXPORT_LOCKED, as is one after a crash until its lock is removed. What a crashed
+    one had written is then known as its own.
+    """
     root = Path(target)
     root.mkdir(parents=True, exist_ok=True)
-    record = root / ".manifest.json"
-    before = json.loads(record.read_text()) if record.exists() else {}
+    lock = root / ".lock"
+    try:
+        os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    except FileExistsError as e:
+        raise RuntimeError(f"EXPORT_LOCKED: {lock}") from e
+    try:
+        return _export(pages, root)
+    finally:
+        lock.unlink()
+
+
+def _export(pages: dict[str, str], root: Path) -> dict[str, list[str]]:
+    record, journal = root / ".manifest.json", root / ".journal.json"
+    before = _recovered(root)
+    journal.write_text(json.dumps({n: hashlib.sha256(t.encode()).hexdigest() for n, t in pages.items()}))
     digest = lambda b: hashlib.sha256(b).hexdigest()
     done: dict[str, list[str]] = {"written": [], "unchanged": [], "conflict": [], "removed": []}
     after = {}
@@ -189,4 +224,5 @@ def export(pages: dict[str, str], target: str) -> dict[str, list[str]]:
         elif p.exists():
             done["conflict"].append(name)
     record.write_text(json.dumps(after))
+    journal.unlink()
     return done

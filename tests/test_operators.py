@@ -211,6 +211,11 @@ def test_infra(spark):
     assert infra.primary_orchestration(infra.services(files)).first()[0] == "kubernetes"
     assert {r.package: r.internal for r in infra.dependencies(infra.manifests(files)).collect()} == {"a": ["b"], "b": []}
     assert {r.target for r in infra.make_targets(files).collect()} == {"build", "test"}
+    more = spark.createDataFrame([(".devcontainer/devcontainer.json", '{\n  // note\n  "name": "dev", "image": "ubuntu:24", "forwardPorts": [80], "containerEnv": {"A": "1"},\n}'), ("x/devcontainer.json", "["), (".env.example", "# c\nexport A=1\nB = 2\nnot a line"), (".env", "C=1")], "path string, content string")
+    assert [(r.service, r.image, r.ports, r.env_keys, r.pattern) for r in infra.services(more).collect()] == [("dev", "ubuntu:24", ["80"], ["A"], "devcontainer")]
+    assert {r.key for r in infra.environment_keys(more).collect()} == {"A", "B"}
+    scripts = spark.createDataFrame([("r", "package.json", '{"scripts": {"lint": "x"}}'), ("r", "yarn.lock", ""), ("g", "go.mod", "module a")], "repo string, path string, content string")
+    assert {tuple(r) for r in infra.commands(scripts, infra.package_managers(scripts)).collect()} == {("r", "lint", "yarn run lint"), ("g", "build", "go build ./..."), ("g", "test", "go test ./...")}
     paths = spark.createDataFrame([("r", "yarn.lock"), ("r", "package-lock.json"), ("s", "x.py")], "repo string, path string")
     assert {r.repo: r.manager for r in infra.package_managers(paths).collect()} == {"r": "yarn", "s": "unknown"}
 
@@ -224,6 +229,17 @@ def test_report(spark, tmp_path):
     assert report.export(pages, str(tmp_path))["written"] == ["relations.md"]
     (tmp_path / "relations.md").write_text("mine")
     assert report.export(pages, str(tmp_path))["conflict"] == ["relations.md"]
+    (tmp_path / ".lock").write_text("")
+    with pytest.raises(RuntimeError, match="EXPORT_LOCKED"):
+        report.export(pages, str(tmp_path))
+    (tmp_path / ".lock").unlink()
+    # Cut short after the page was written and before the manifest was: the page is known as its own again.
+    cut = tmp_path / "cut"
+    report.export({"a.md": "one"}, str(cut))
+    (cut / "a.md").write_text("two")
+    (cut / ".a.md.new").write_text("tw")
+    (cut / ".journal.json").write_text(json.dumps({"a.md": __import__("hashlib").sha256(b"two").hexdigest()}))
+    assert report.export({"a.md": "three"}, str(cut))["written"] == ["a.md"] and (cut / "a.md").read_text() == "three" and not list(cut.glob(".*.new"))
     assert "## Decision" in report.decision_record(1, "t", "c", "d", "e") and "Accepted" in report.decision_record(1, "t", "c", "d", "e")
     assert "2 of 3 rows" in report.documentation({"relations": rel.select("relation_id")}, 2)["relations.md"]
     facts = spark.createDataFrame([("f1", "function", "a", "p", ["e1"], {"name": "a"}), ("f2", "method", "b", "p", ["e1", "nope"], {"name": "b"}), ("f3", "class", "c", "p", ["e1"], {}), ("f4", "Function", "Main", "p", ["e1"], {}), ("f5", "method", "d", "p", [], {}), ("b", "function", "e", "p", ["e1"], {})], "fact_id string, kind string, name string, path string, evidence_ids array<string>, attributes map<string,string>")

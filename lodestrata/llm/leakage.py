@@ -16,7 +16,7 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import STATUS_TEXT, extension, join_route, normalise_route, operation_id, param_type, path_params, status_text, tag_of
+from lodestrata.runtime import materialize
 
 #: How frameworks declare a route: name, extensions, pattern, group of the method, group of the route, words that show authentication.
 ROUTES = (
@@ -84,13 +85,14 @@ def mounted(files: DataFrame) -> DataFrame:
     Directories are matched by equality with each parent directory of a file, the deepest first, base names by equality, so
     no join compares all with all.
     """
-    exact = mounts(files).groupBy("path").agg(F.min("prefix").alias("prefix"))
+    imported = materialize(mounts(files))  # read twice below
+    exact = imported.groupBy("path").agg(F.min("prefix").alias("prefix"))
     known = files.where("path is not null and content is not null")
     used = known.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(MOUNT), F.lit(2)).alias("n"), F.regexp_extract_all("content", F.lit(MOUNT), F.lit(1)).alias("p"))).alias("u")).select(F.col("u.n").alias("name"), F.col("u.p").alias("prefix"))
     by_name = used.select(base_key(F.col("name")).alias("key"), "prefix").where("key <> ''").groupBy("key").agg(F.min("prefix").alias("prefix"))
     parts = F.split("path", "/")
     folder = F.when(F.col("path").rlike(r"/index\.[a-z]+$"), F.regexp_replace("path", r"/index\.[a-z]+$", ""))
-    roots = mounts(files).select(folder.alias("folder"), "prefix").where("folder is not null").groupBy("folder").agg(F.min("prefix").alias("prefix"))
+    roots = imported.select(folder.alias("folder"), "prefix").where("folder is not null").groupBy("folder").agg(F.min("prefix").alias("prefix"))
     parents = known.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("folder")))).alias("x")).select("path", "x.*")
     inside = parents.join(roots, "folder").groupBy("path").agg(F.max_by("prefix", "depth").alias("prefix"))
     named = known.select("path", base_key(F.regexp_extract("path", r"([^/]*)$", 1)).alias("key")).join(by_name, "key").select("path", "prefix")

@@ -39,7 +39,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame
     Level by level; the frontier is joined with the edges, what was seen before is taken out, and each
     level is written to the shared folder, so that the plan does not grow.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct())  # read once a level
     frontier = sources.select(F.col("node"))
     seen: DataFrame | None = None
     for step in range(1, most + 1):
